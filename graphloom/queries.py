@@ -1,0 +1,109 @@
+"""Queries of the core: name -> (spark, folder) -> DataFrame, with equivalent SQL where there is one."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from graphloom.operators import hierarchy, orphans
+from graphloom.session import ship
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def _tables(spark, folder, *names):
+    return [table(spark, folder, n) for n in names]
+
+
+QUERIES = {}
+SQL = {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        def run(spark, folder):
+            ship(spark)
+            return f(spark, folder)
+
+        QUERIES[name] = run
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return register
+
+
+def _uuid_sql(c: str) -> str:
+    loose = r"^\s*(urn:uuid:)?\{?([0-9a-f]{8})-?([0-9a-f]{4})-?([0-9a-f]{4})-?([0-9a-f]{4})-?([0-9a-f]{12})\}?\s*$"
+    return f"case when regexp_matches(lower({c}), '{loose}') then regexp_replace(lower({c}), '{loose}', '\\2-\\3-\\4-\\5-\\6') else {c} end"
+
+
+_REFS_SQL = f"""
+refs as (
+  select 'relationships.from_id' ref_field, {_uuid_sql('id')} record_id, {_uuid_sql('from_id')} target_id, created_at, 'object' space from relationships where regexp_matches(from_id, '\\S')
+  union all select 'relationships.to_id', {_uuid_sql('id')}, {_uuid_sql('to_id')}, created_at, 'object' from relationships where regexp_matches(to_id, '\\S')
+  union all select 'objects.evidence', {_uuid_sql('id')}, {_uuid_sql('e')}, created_at, 'evidence' from (select id, created_at, unnest(evidence) e from objects) where regexp_matches(e, '\\S')),
+known as (
+  select space, target_id, min(born) born from (
+    select 'object' space, {_uuid_sql('id')} target_id, created_at born from objects
+    union all select 'object', {_uuid_sql('id')}, created_at from technologies
+    union all select 'evidence', {_uuid_sql('id')}, created_at from evidence) group by all),
+gone as (select {_uuid_sql('subject')} target_id, min(occurred_at) died from kir_events where lower(trim(kind)) = 'deleted' group by all),
+orphans as (
+  select distinct ref_field, record_id, r.target_id, strftime(r.created_at, '%Y-%m') created_month
+  from refs r left join known k on k.space = r.space and k.target_id = r.target_id left join gone g on g.target_id = r.target_id
+  where k.target_id is null or k.born > r.created_at or g.died <= r.created_at)
+"""
+
+_P2 = ("relationships", "objects", "technologies", "evidence", "kir_events")
+
+
+@query("p2_found", f"with {_REFS_SQL} select distinct ref_field, record_id, target_id from orphans")
+def p2_found(spark, folder):
+    return orphans.found(*_tables(spark, folder, *_P2))
+
+
+@query(
+    "p2_report",
+    f"""with {_REFS_SQL},
+    r as (select ref_field, created_month, count(*) n_references from (select distinct ref_field, record_id, target_id, strftime(created_at, '%Y-%m') created_month from refs) group by all),
+    o as (select ref_field, created_month, count(*) n from orphans group by all)
+    select r.ref_field, r.created_month, n_references, coalesce(o.n, 0) n_orphans from r left join o on o.ref_field = r.ref_field and o.created_month = r.created_month""",
+)
+def p2_report(spark, folder):
+    return orphans.report(*_tables(spark, folder, *_P2))
+
+
+_TREE_SQL = f"""
+links as (select {_uuid_sql('to_id')} child, min({_uuid_sql('from_id')}) parent from relationships where lower(trim(kind)) = 'contains' and from_id is not null and to_id is not null group by 1),
+nodes as (select child node_id from links union select parent from links),
+down as (
+  select node_id, node_id root_id, 0 depth, [node_id] path from nodes where node_id not in (select child from links)
+  union all select l.child, d.root_id, d.depth + 1, list_append(d.path, l.child) from down d join links l on l.parent = d.node_id),
+stuck as (select node_id from nodes where node_id not in (select node_id from down)),
+around as (
+  select node_id, [node_id] seen, (select parent from links where child = node_id) nxt from stuck
+  union all select node_id, list_append(seen, nxt), (select parent from links where child = nxt) from around where not list_contains(seen, nxt)),
+cycles as (select node_id, list_min(seen[list_position(seen, nxt):]) root_id, -1 depth from around where list_contains(seen, nxt))
+"""
+
+
+@query("p3_found", f"with recursive {_TREE_SQL} select node_id, root_id, depth from down union all select node_id, root_id, depth from cycles")
+def p3_found(spark, folder):
+    return hierarchy.hierarchy(table(spark, folder, "relationships"))
+
+
+@query("p3_paths", f"with recursive {_TREE_SQL} select node_id, root_id, depth, array_to_string(path, '/') path from down union all select node_id, root_id, depth, null from cycles")
+def p3_paths(spark, folder):
+    from pyspark.sql import functions as F
+
+    return hierarchy.hierarchy(table(spark, folder, "relationships"), with_path=True).withColumn("path", F.array_join("path", "/"))
+
+
+@query(
+    "p3_descendants",
+    f"with recursive {_TREE_SQL} select a node_id, count(*) n_descendants, max(depth - (i - 1)) height from (select node_id, depth, unnest(path) a, unnest(range(1, len(path) + 1)) i from down) where a <> node_id group by 1",
+)
+def p3_descendants(spark, folder):
+    return hierarchy.descendants(table(spark, folder, "relationships"))
