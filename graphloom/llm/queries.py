@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import encode, groups
+from graphloom.llm import encode, groups, names
 from graphloom.queries import _uuid_sql, table
 from graphloom.session import ship
 
@@ -58,3 +58,17 @@ def p7_totals(spark, folder):
 
     n = table(spark, folder, "documents").select("source", F.length("text").alias("c"), encode.token_count(F.col("text")).alias("n"))
     return n.groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"), F.coalesce(F.sum("c"), F.lit(0)).alias("n_characters"), F.sum("n").alias("n_tokens"))
+
+
+@query("p1_found")
+def p1_found(spark, folder):
+    return names.found(table(spark, folder, "authors"))
+
+
+@query("p1_entities")
+def p1_entities(spark, folder):
+    """Every row with the smallest author_id of its entity and the number of its spellings."""
+    from pyspark.sql import functions as F
+
+    e = names.entities(table(spark, folder, "authors"))
+    return e.join(e.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n_rows")), "entity_id").select("author_id", "entity_id", "n_rows")
