@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.operators import hierarchy, orphans
+from graphloom.operators import drift, hierarchy, orphans
 from graphloom.session import ship
 
 
@@ -107,3 +107,18 @@ def p3_paths(spark, folder):
 )
 def p3_descendants(spark, folder):
     return hierarchy.descendants(table(spark, folder, "relationships"))
+
+
+@query("p5_found")
+def p5_found(spark, folder):
+    return drift.changes(table(spark, folder, "export_manifests"))
+
+
+@query("p5_schema")
+def p5_schema(spark, folder):
+    return drift.union_schema(table(spark, folder, "export_manifests"))
+
+
+@query("p5_table")
+def p5_table(spark, folder):
+    return drift.consistent_table(table(spark, folder, "export_manifests"))
