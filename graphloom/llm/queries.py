@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import encode, groups, names
+from graphloom.llm import encode, groups, names, sources
 from graphloom.queries import _uuid_sql, table
 from graphloom.session import ship
 
@@ -72,3 +72,19 @@ def p1_entities(spark, folder):
 
     e = names.entities(table(spark, folder, "authors"))
     return e.join(e.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n_rows")), "entity_id").select("author_id", "entity_id", "n_rows")
+
+
+@query("p4_found")
+def p4_found(spark, folder):
+    return sources.parse_errors(table(spark, folder, "source_files")).select("file_id")
+
+
+@query("p4_rates")
+def p4_rates(spark, folder):
+    return sources.rates(table(spark, folder, "source_files"))
+
+
+@query("p4_errors")
+def p4_errors(spark, folder):
+    """Kind, token and line of each error."""
+    return sources.parse_errors(table(spark, folder, "source_files")).select("file_id", "language", "error", "token", "line")
