@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import encode, groups, names, sources
+from graphloom.llm import encode, groups, names, packing, sources
 from graphloom.queries import _uuid_sql, table
 from graphloom.session import ship
 
@@ -88,3 +88,13 @@ def p4_rates(spark, folder):
 def p4_errors(spark, folder):
     """Kind, token and line of each error."""
     return sources.parse_errors(table(spark, folder, "source_files")).select("file_id", "language", "error", "token", "line")
+
+
+@query("p8_containers")
+def p8_containers(spark, folder):
+    return packing.containers(table(spark, folder, "documents"))
+
+
+@query("p8_usage")
+def p8_usage(spark, folder):
+    return packing.usage(packing.containers(table(spark, folder, "documents")))
