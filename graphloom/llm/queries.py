@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import encode, groups, names, packing, sources
+from graphloom.llm import abuse, encode, groups, names, packing, sources
 from graphloom.queries import _uuid_sql, table
 from graphloom.session import ship
 
@@ -98,3 +98,18 @@ def p8_containers(spark, folder):
 @query("p8_usage")
 def p8_usage(spark, folder):
     return packing.usage(packing.containers(table(spark, folder, "documents")))
+
+
+@query("p9_found")
+def p9_found(spark, folder):
+    return abuse.found(table(spark, folder, "documents"), table(spark, folder, "review_labels"))
+
+
+@query("p9_scores")
+def p9_scores(spark, folder):
+    return abuse.scores(table(spark, folder, "documents"), table(spark, folder, "review_labels"))
+
+
+@query("p9_rates")
+def p9_rates(spark, folder):
+    return abuse.rates(table(spark, folder, "documents"), table(spark, folder, "review_labels"))
