@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -43,9 +44,58 @@ def jaro_winkler(a: str, b: str) -> float:
     return s + 0.1 * n * (1 - s)
 
 
+LONGEST = 48
+
+
+def jaro_winkler_many(a: list[str], b: list[str]) -> np.ndarray:
+    """jaro_winkler of many pairs at once, on arrays of their letters; pairs with a longer word than LONGEST one by one."""
+    out = np.zeros(len(a))
+    small = np.array([len(x) <= LONGEST and len(y) <= LONGEST for x, y in zip(a, b)], bool)
+    for i in np.flatnonzero(~small):
+        out[i] = jaro_winkler(a[i], b[i])
+    at = np.flatnonzero(small)
+    if not len(at):
+        return out
+    left, right = [a[i] for i in at], [b[i] for i in at]
+    la, lb = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+    wa, wb = max(1, la.max()), max(1, lb.max())
+    letters = lambda words, w: np.array([list(map(ord, x.ljust(w, "\0"))) for x in words], np.int32).reshape(len(words), w)
+    x, y = letters(left, wa), letters(right, wb)
+    reach = np.maximum(np.maximum(la, lb) // 2, 1) - 1
+    in_a, in_b = np.zeros(x.shape, bool), np.zeros(y.shape, bool)
+    far = int(reach.max())
+    for i in range(wa):
+        open_ = i < la
+        for j in range(max(0, i - far), min(wb, i + far + 1)):
+            hit = open_ & (j < lb) & (abs(i - j) <= reach) & ~in_b[:, j] & (x[:, i] == y[:, j])
+            in_b[:, j] |= hit
+            in_a[:, i] |= hit
+            open_ &= ~hit
+    m = in_a.sum(axis=1)
+    k = max(1, int(m.max()))
+    first, second = np.zeros((len(at), k), np.int32), np.zeros((len(at), k), np.int32)
+    for letters_, mask, target in ((x, in_a, first), (y, in_b, second)):
+        rows, cols = np.nonzero(mask)
+        target[rows, (np.cumsum(mask, axis=1) - 1)[rows, cols]] = letters_[rows, cols]
+    half = (first != second).sum(axis=1) / 2
+    some = np.maximum(m, 1)
+    jaro_ = np.where(m > 0, (m / np.maximum(la, 1) + m / np.maximum(lb, 1) + (m - half) / some) / 3, 0.0)
+    jaro_[(la == 0) & (lb == 0)] = 1.0
+    w = min(4, wa, wb)
+    same = np.zeros((len(at), max(w, 1)), bool)
+    for i in range(w):
+        same[:, i] = (x[:, i] == y[:, i]) & (i < la) & (i < lb)
+    prefix = np.cumprod(same, axis=1).sum(axis=1)
+    out[at] = jaro_ + 0.1 * prefix * (1 - jaro_)
+    return out
+
+
 @F.pandas_udf(T.DoubleType())
 def jaro_winkler_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([jaro_winkler(x, y) if isinstance(x, str) and isinstance(y, str) else None for x, y in zip(a, b)], dtype="float64")
+    there = (a.notna() & b.notna()).to_numpy()
+    out = np.full(len(a), np.nan)
+    out[there] = jaro_winkler_many(a[there].tolist(), b[there].tolist())
+    return pd.Series(out).astype(object).where(~np.isnan(out), None).astype("float64")
 
 
 def jaccard(a: Column, b: Column) -> Column:

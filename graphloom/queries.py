@@ -10,7 +10,7 @@ from graphloom.functions import text
 from graphloom.functions.ids import canonical_uuid, uuid5
 from graphloom.operators import compile, context, docs, drift, graph, hierarchy, identity, ledger, orphans, recovery, search, simulation
 from graphloom.plans import ekl, transform
-from graphloom.session import ship
+from graphloom.session import cut, ship
 from graphloom.sources import tables as T
 from graphloom.streaming import ledger_stream
 
@@ -314,7 +314,7 @@ _TOP = "top as (select max_by(f, struct_pack(c := c, f := f)) f from (select f,
 
 def _root(spark, folder):
     """The object with the most confirmed Contains links, the largest id of several."""
-    o, r = _graph(spark, folder)
+    o, r = (cut(df) for df in _graph(spark, folder))
     top = r.where((F.lower("kind") == "contains") & graph.not_pending(r)).join(o.select(F.col("id").alias("from")), "from", "left_semi").groupBy("from").count().orderBy(F.desc("count"), F.desc("from")).limit(1).collect()
     return o, r, top[0]["from"] if top else ""
 
