@@ -24,6 +24,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from graphloom.session import spread
+
 #: The most labelled documents the model is fitted on.
 FIT_DOCUMENTS = 12_000
 BITS = 18
@@ -346,7 +348,7 @@ def scores(documents: DataFrame, reviews: DataFrame, most: int = FIT_DOCUMENTS)
         return pd.DataFrame(out, columns=["severity", "p_abusive"])
 
     source = F.regexp_replace(F.lower(F.trim("source")), r"[\s-]+", "_").alias("source")
-    return documents.select("doc_id", source, score("text").alias("s")).select("doc_id", "source", F.round("s.severity", 6).alias("severity"), F.round("s.p_abusive", 6).alias("p_abusive"))
+    return spread(documents.select("doc_id", source, "text")).select("doc_id", "source", score("text").alias("s")).select("doc_id", "source", F.round("s.severity", 6).alias("severity"), F.round("s.p_abusive", 6).alias("p_abusive"))
 
 
 def found(documents: DataFrame, reviews: DataFrame, threshold: float = THRESHOLD, most: int = FIT_DOCUMENTS) -> DataFrame:

@@ -20,6 +20,8 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
+from graphloom.session import spread
+
 CACHE_WORDS = 200_000
 #: Words above this many bytes are encoded but not kept.
 CACHE_BYTES = 64
@@ -63,12 +65,17 @@ class Encoder:
         self.keys, self.key_rank = keys[order], np.array([r for r, _ in self.pair.values()])[order]
         self.byte_id = [vocab[letters[b]] for b in range(256)]
         known = {c: b for b, c in enumerate(letters)}
+        # a token encodes to itself if its parts do and nothing merges across them before its own merge
+        made = np.flatnonzero(rank >= 0)
+        whole = self.compatible(split_left[made], split_right[made], rank[made] * 2)
+        valid = rank < 0
+        for token, ok in sorted(zip(made.tolist(), whole.tolist()), key=lambda t: rank[t[0]]):
+            valid[token] = ok and valid[split_left[token]] and valid[split_right[token]]
         self.longest = ahocorasick.Automaton()
         for text, token in vocab.items():
-            if all(c in known for c in text) and (len(text) == 1 or rank[token] >= 0):
+            if all(c in known for c in text) and valid[token] and (len(text) == 1 or rank[token] >= 0):
                 raw = "".join(chr(known[c]) for c in text)
-                if len(text) == 1 or self.merge(raw.encode("latin-1")) == [token]:
-                    self.longest.add_word(raw, (token, len(raw)))
+                self.longest.add_word(raw, (token, len(raw)))
         self.longest.make_automaton()
         self.words = regex.compile(PATTERN)
         self.cache: dict[str, tuple[int, ...]] = {}
@@ -97,15 +104,15 @@ class Encoder:
                 heapq.heappush(heap, (p[0], prev[i], ids[prev[i]], ids[i]))
         return [t for t, ok in zip(ids, alive) if ok]
 
-    def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """For each pair of tokens, whether their bytes side by side encode to just these two.
+    def compatible(self, a: np.ndarray, b: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+        """For each pair of tokens, whether their bytes side by side encode to just these two, as far as merges before a given one go.
 
         The last merges inside both tokens are undone from the latest on; a merge across the border that would have come before
         the one undone would have won.
         """
         a, b = a.astype(np.int64), b.astype(np.int64)
         ok = np.ones(len(a), bool)
-        limit = np.full(len(a), np.iinfo(np.int64).max)
+        limit = np.full(len(a), np.iinfo(np.int64).max) if before is None else before.astype(np.int64)
         # ties of one rank go to the leftmost place: across the border comes after a merge inside the left token, before one inside the right
         live = np.arange(len(a))
         while len(live):
@@ -214,4 +221,4 @@ def token_count(text: Column, path: str | None = None) -> Column:
 
 def encode_documents(documents: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids): one row for each row of documents, repeated rows too; an empty table gives no rows, extra columns are ignored."""
-    return documents.select("doc_id", token_ids(F.col("text"), path).alias("ids"))
+    return spread(documents.select("doc_id", "text")).select("doc_id", token_ids(F.col("text"), path).alias("ids"))

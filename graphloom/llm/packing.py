@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from graphloom.llm.encode import token_count
-from graphloom.session import cut
+from graphloom.session import cut, spread
 
 CAPACITY = 2048
 BLOCK = 2000
@@ -157,7 +157,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, island
 
 def pieces_of(documents: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """(piece_id, doc_id, piece, start, n_tokens): a document of at most capacity tokens is one piece, a longer one is cut into full pieces and a rest."""
-    n = documents.select("doc_id", token_count(F.col("text"), path).alias("n"))
+    n = spread(documents.select("doc_id", "text")).select("doc_id", token_count(F.col("text"), path).alias("n"))
     starts = F.when(F.col("n") <= 0, F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), (F.col("n") - 1).cast("bigint"), F.lit(capacity).cast("bigint")))
     rows = n.select("doc_id", "n", F.posexplode(starts).alias("piece", "start"))
     return rows.select(F.monotonically_increasing_id().alias("piece_id"), "doc_id", "piece", "start", F.least(F.col("n") - F.col("start"), F.lit(capacity)).cast("int").alias("n_tokens"))

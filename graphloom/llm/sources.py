@@ -13,7 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from graphloom.llm.derivatives import Grammar
+
 from graphloom.llm.languages import ERROR, LANGUAGES, toml_redefinition
+from graphloom.session import spread
 
 _GRAMMARS: dict[str, Grammar] = {}
 
@@ -63,7 +65,7 @@ def parse_errors(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["file_id", "repo", "path", "language", "error", "token", "line"])
 
     known = files.select("file_id", "repo", "path", language(F.col("path")).alias("language"), "source").where("language is not null and source is not null")
-    return known.mapInPandas(run, "file_id bigint, repo string, path string, language string, error string, token bigint, line bigint")
+    return spread(known).mapInPandas(run, "file_id bigint, repo string, path string, language string, error string, token bigint, line bigint")
 
 
 def rates(files: DataFrame) -> DataFrame:
