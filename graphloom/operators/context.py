@@ -48,8 +48,8 @@ def select_only(spark, sql: str, most: int = 1000) -> str:
         raise ValueError("exactly one statement is wanted")
     if not re.match(r"(?i)(select|with)\b", bare):
         raise ValueError("only queries are allowed")
-    name = spark._jsparkSession.sessionState().sqlParser().parsePlan(bare).getClass().getSimpleName()
-    if "Command" in name or "Insert" in name or name.startswith("Create"):
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(bare).treeString()
+    if re.search(r"\b(?:Insert\w*|\w+Command|Create\w+|Drop\w+|Merge\w+|Update\w+|Delete\w+)\b", plan):
         raise ValueError("only queries are allowed")
     return bare if re.search(r"(?i)\blimit\s+\d+\s*$", bare) else f"{bare} LIMIT {most}"
 

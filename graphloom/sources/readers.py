@@ -25,7 +25,7 @@ def file_tree(spark: SparkSession, root: str, glob: str = "*", ignored: list[str
     """(path, size_bytes, sha256, modified, excerpt, symbols) of the files under root: no ignored components, no secret files, texts redacted."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     base = root if root.startswith("file:") else f"file:{root}"
-    path = F.ltrim(F.lit("/"), F.regexp_replace("path", "^" + re.escape(base.rstrip("/")), ""))
+    path = F.ltrim(F.regexp_replace("path", "^" + re.escape(base.rstrip("/")), ""), F.lit("/"))
     body = F.try_to_binary(F.hex("content"), F.lit("hex"))
     decoded = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
     clean = text.redacted(decoded)

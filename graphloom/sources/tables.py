@@ -12,7 +12,7 @@ def object_versions(objects: DataFrame) -> DataFrame:
     """(id, name, kind, evidence, created_at, status, sig): every row as a version, sig its content without created_at."""
     entries = F.array_join(F.array_sort(F.transform(F.map_entries("props"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
     sig = F.concat_ws("|", F.coalesce("obj_name", F.lit("")), F.coalesce("kind", F.lit("")), F.coalesce(entries, F.lit("")), F.coalesce(F.array_join("evidence", ",", "-"), F.lit("")))
-    return objects.where("id is not null").select(canonical_uuid("id").alias("id"), F.col("obj_name").alias("name"), "kind", "evidence", "created_at", F.trim(F.lit('"'), F.col("props")["status"]).alias("status"), sig.alias("sig"))
+    return objects.where("id is not null").select(canonical_uuid("id").alias("id"), F.col("obj_name").alias("name"), "kind", "evidence", "created_at", F.trim(F.col("props")["status"], F.lit('"')).alias("status"), sig.alias("sig"))
 
 
 def current_objects(objects: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def current_objects(objects: DataFrame) -> DataFrame:
 def relationship_rows(relationships: DataFrame) -> DataFrame:
     """(id, kind, from, to, evidence, created_at, status) with canonical ids."""
     return relationships.where("id is not null").select(
-        canonical_uuid("id").alias("id"), "kind", canonical_uuid("from_id").alias("from"), canonical_uuid("to_id").alias("to"), F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence"), "created_at", F.trim(F.lit('"'), F.col("props")["status"]).alias("status")
+        canonical_uuid("id").alias("id"), "kind", canonical_uuid("from_id").alias("from"), canonical_uuid("to_id").alias("to"), F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence"), "created_at", F.trim(F.col("props")["status"], F.lit('"')).alias("status")
     )
 
 
