@@ -88,7 +88,7 @@ def lex_toml(text: str) -> tuple[list[str], list[int]]:
             line_start = not stack
             value = bool(stack)
             continue
-        if value or (stack and stack[-1] == "(" and c not in ",]"):
+        if (value and c not in ",]}=") or (stack and stack[-1] == "(" and c not in ",]"):
             m = _TOML_TEXT.match(text, i)
             if m:
                 put("text", m.end() - i)
@@ -104,8 +104,6 @@ def lex_toml(text: str) -> tuple[list[str], list[int]]:
             elif m := _TOML_SCALAR.match(text, i):
                 put("scalar", m.end() - i)
                 value = False
-            elif c in ",]}=" and c:
-                put(")" if c == "]" else c, 1)
             else:
                 return [*kinds, ERROR], [*at, i]
         elif c == "]" and stack and stack[-1] == "(":

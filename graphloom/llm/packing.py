@@ -133,6 +133,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, island
         before, n = n, rest.count()
         if not n and done is not None:
             break
+        if before is not None and n > 0.9 * before:
+            block *= 2  # what does not fill in small blocks is tried in larger ones
         blocks = max(1, math.ceil(n / block))
         placed = rest.withColumn("block", F.pmod(F.xxhash64("piece_id", F.lit(level)), F.lit(blocks)).cast("int"))
         on = placed.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1)))).withColumn("bin", F.lit(-1)).withColumn("origin", F.lit(0))
@@ -143,7 +145,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, island
         fill = second.groupBy("block", "island", "bin").agg(F.sum("n_tokens").alias("filled"))
         judged = fill.groupBy("block", "island").agg(F.count(F.lit(1)).alias("bins"), F.sum((F.col("filled") / capacity) ** 2).alias("squares"))
         winner = judged.groupBy("block").agg(F.max_by("island", F.struct(-F.col("bins"), "squares", -F.col("island"))).alias("island"))
-        last = blocks == 1 or level == MOST_LEVELS - 1 or (before is not None and n > 0.9 * before)
+        last = blocks == 1 or level == MOST_LEVELS - 1
         best = cut(second.join(winner, ["block", "island"]).join(fill, ["block", "island", "bin"]))
         final = best if last else best.where(F.col("filled") >= FULL * capacity)
         number = F.lit(level).cast("bigint") * (1 << 56) + F.col("block").cast("bigint") * (1 << 20) + F.col("bin")
