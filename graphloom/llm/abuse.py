@@ -33,6 +33,8 @@ ROUNDS = 5
 STEPS = 120
 FOLDS = 4
 POSITIVE_WEIGHT = 4.0
+#: Passages with fewer features than this (four words) weigh as if they had so many.
+SHORT = 9
 CACHE_PASSAGES = 100_000
 CACHE_WORDS = 200_000
 THRESHOLD = 0.3
@@ -154,7 +156,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Ordinal:
-    """P(grade >= k) = sigmoid(w.x - cut_k) with x of unit length: one weight vector for ordered cuts."""
+    """P(grade >= k) = sigmoid(w.x - cut_k) with x of unit length (less for very short passages): one weight vector for ordered cuts."""
 
     def __init__(self, weights: np.ndarray | None = None, cuts: np.ndarray | None = None):
         self.weights = np.zeros(1 << BITS, np.float32) if weights is None else weights
@@ -170,7 +172,7 @@ class Ordinal:
         lengths = np.array([len(r) for r in rows])
         flat = np.concatenate(rows)
         sums = np.add.reduceat(self.weights[flat], np.concatenate([[0], np.cumsum(lengths)[:-1]]))
-        return sums / np.sqrt(lengths)
+        return sums / np.sqrt(np.maximum(lengths, SHORT))
 
     def fit(self, rows: list[np.ndarray], grades: np.ndarray, importance: np.ndarray, steps: int = STEPS, rate: float = 0.5, ridge: float = 2e-4) -> None:
         """Maximises the cumulative-link likelihood by AdaGrad over all rows."""
@@ -178,7 +180,7 @@ class Ordinal:
         flat = np.concatenate(rows)
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         owner = np.repeat(np.arange(len(rows)), lengths)
-        scale = 1 / np.sqrt(lengths)
+        scale = 1 / np.sqrt(np.maximum(lengths, SHORT))
         total = importance.sum()
         seen_w, seen_c = np.full(len(self.weights), 1e-8), np.full(TOP, 1e-8)
         n = np.arange(len(rows))
