@@ -72,7 +72,7 @@ def _survivors(refs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     """One key range: encodes, builds the bitmaps of each period, subtracts, decodes."""
     columns = ["space", "target_id", "period", "born", "died"]
     if refs.empty:
-        return pd.DataFrame({c: [] for c in columns})
+        return pd.DataFrame([], columns=columns)
     codes, words = pd.factorize(pd.concat([refs["space"] + "\0" + refs["target_id"], known["space"] + "\0" + known["target_id"]], ignore_index=True))
     ref_code, known_code = codes[: len(refs)], codes[len(refs) :]
     born = np.full(len(words), _NEVER, np.int64)
@@ -94,7 +94,7 @@ def _survivors(refs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
             keep = rows[np.isin(ref_code[rows], left)]
             out.append(keep)
     if not out:
-        return pd.DataFrame({c: [] for c in columns})
+        return pd.DataFrame([], columns=columns)
     rows = np.concatenate(out)
     code = ref_code[rows]
     return pd.DataFrame({"space": refs["space"].to_numpy()[rows], "target_id": refs["target_id"].to_numpy()[rows], "period": period[rows], "born": born[code], "died": died[code]})
