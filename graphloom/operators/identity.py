@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from graphloom.functions.text import comparable_name, cross_system_name, normalized_name, type_family
@@ -14,6 +15,8 @@ THRESHOLD, CONCEPT_THRESHOLD = 0.90, 0.95
 WEIGHTS = {"column_overlap": 0.4, "name_pattern": 0.4, "type_compat": 0.2}
 CROSS_SYSTEM_LEAST = 0.3
 FREE_TEXT_MOST = 20
+#: Objects that meet those of another block in one row.
+PAIR_BLOCK = 1000
 
 
 def jaro(a: str, b: str) -> float:
@@ -174,17 +177,93 @@ def combined_signal(column_overlap: Column, name_pattern: Column, type_compat: C
     return F.when(weight > 0, total / weight).otherwise(F.lit(0.0))
 
 
+def _name_patterns(a: list[str], b: list[str], most: int = 20_000) -> np.ndarray:
+    """jaro_winkler of every name of a with every name of b."""
+    out = np.zeros(len(a) * len(b))
+    for at in range(0, len(out), most):
+        pairs = range(at, min(at + most, len(out)))
+        out[at : at + most] = jaro_winkler_many([a[i // len(b)] for i in pairs], [b[i % len(b)] for i in pairs])
+    return out.reshape(len(a), len(b))
+
+
+def _confident(a: list[dict], b: list[dict], same: bool, most: int = 200_000):
+    """Record batches (left, right, confidence) of the pairs of two lists of objects, or of one list with itself, of at least CROSS_SYSTEM_LEAST."""
+    ids = sorted({o["id"] for o in a} | {o["id"] for o in b})
+    at, text = {x: i for i, x in enumerate(ids)}, pa.array(ids, pa.string())
+    codes: dict = {}
+
+    def side(objects):
+        named = np.array([codes.setdefault((o["kind"], o["shown"]), len(codes)) for o in objects])
+        norms, norm = np.unique([o["norm"] for o in objects], return_inverse=True)
+        kinds = [{c["name"]: c["family"] for c in o["columns"] or []} for o in objects]
+        return np.array([at[o["id"]] for o in objects]), named, norms.tolist(), norm, kinds
+
+    (pa_, na, ua, xa, ca), (pb, nb, ub, xb, cb) = side(a), side(b)
+    names = _name_patterns(ua, ub)
+    typed = lambda cs: [{(k, f) for k, f in c.items() if f is not None} for c in cs]
+    sides = {"column": ([set(c) for c in ca], [set(c) for c in cb]), "agree": (typed(ca), typed(cb))}
+    sides["typed"] = tuple([{k for k, _ in c} for c in cs] for cs in sides["agree"])
+
+    def incidence(name):
+        left, right = sides[name]
+        known = {k: i for i, k in enumerate(set().union(*left) & set().union(*right))}
+        out = []
+        for cs in (left, right):
+            m = np.zeros((len(cs), max(1, len(known))), np.float32)
+            for i, c in enumerate(cs):
+                m[i, [known[k] for k in c if k in known]] = 1
+            out.append(m)
+        return out[0], out[1].T
+
+    inc = {name: incidence(name) for name in sides}
+    sa, sb = np.array([len(c) for c in ca]), np.array([len(c) for c in cb])
+    step = max(1, most // max(1, len(b)))
+    for lo in range(0, len(a), step):
+        s = slice(lo, lo + step)
+        common = inc["column"][0][s] @ inc["column"][1]
+        shared = inc["typed"][0][s] @ inc["typed"][1]
+        agree = inc["agree"][0][s] @ inc["agree"][1]
+        both = (sa[s, None] > 0) & (sb[None, :] > 0)
+        overlap = common / np.maximum(sa[s, None] + sb[None, :] - common, 1)
+        w = WEIGHTS
+        total = w["name_pattern"] * names[xa[s]][:, xb] + w["column_overlap"] * np.where(both, overlap, 0) + w["type_compat"] * agree / np.maximum(shared, 1)
+        score = np.round(total / (w["name_pattern"] + w["column_overlap"] * both + w["type_compat"] * (shared > 0)), 6)
+        keep = (score >= CROSS_SYSTEM_LEAST) & (na[s, None] != nb[None, :])
+        keep &= (pa_[s, None] < pb[None, :]) if same else (pa_[s, None] != pb[None, :])
+        i, j = np.nonzero(keep)
+        x, y = pa_[s][i], pb[j]
+        yield pa.RecordBatch.from_arrays([text.take(pa.array(np.minimum(x, y))), text.take(pa.array(np.maximum(x, y))), pa.array(score[keep])], ["left", "right", "confidence"])
+
+
+def cross_system_pairs(objects: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
+    """(left, right, confidence): all pairs of objects (id, kind, name, columns of (name, data_type)) with combined confidence of at least 0.3, but those of one kind and one name in any case.
+
+    Jaro is at least a third as soon as one letter matches, so hardly a pair can be ruled out unscored: blocks of objects meet block against block, each two
+    once and in one row, which is scored on arrays. Names are compared once for each two different names of a meeting.
+    """
+    lower = F.transform("columns", lambda c: F.struct(F.lower(c["name"]).alias("name"), type_family(c["data_type"]).alias("family")))
+    name = F.coalesce("name", F.lit(""))
+    o = cut(objects.select("id", "kind", F.lower(name).alias("shown"), cross_system_name(name).alias("norm"), lower.alias("columns")))
+    blocks = max(1, -(-o.count() // block))
+    packed = cut(o.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("id", "kind", "shown", "norm", "columns")).alias("objects")))
+    met = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    left = met.where("block <= other").select(F.col("block").alias("i"), F.col("other").alias("j"), F.col("objects").alias("a"))
+    right = met.where("block >= other").select(F.col("other").alias("i"), F.col("block").alias("j"), F.col("objects").alias("b"))
+    cells = left.join(right.hint("merge"), ["i", "j"]).repartition(max(1, min(blocks * (blocks + 1) // 2, 4 * o.sparkSession.sparkContext.defaultParallelism)), "i", "j")
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                i, j, a, b = (batch.column(c)[k].as_py() for c in range(4))
+                yield from _confident(a, b, i == j)
+
+    return cells.mapInArrow(run, "left string, right string, confidence double")
+
+
 def cross_system_candidates(tables: DataFrame, columns: DataFrame) -> DataFrame:
-    """(left, right, confidence): tables (table_name) that share a column, or the first three letters of their cross-system name, with combined confidence of at least 0.3."""
-    n = tables.select("table_name", cross_system_name(F.col("table_name")).alias("norm"))
-    a, b = n.alias("a"), n.alias("b")
-    by_name = a.join(b, (F.substring("a.norm", 1, 3) == F.substring("b.norm", 1, 3)) & (F.col("a.table_name") < F.col("b.table_name"))).select(F.col("a.table_name").alias("left"), F.col("b.table_name").alias("right"))
-    by_columns = type_compatibility(columns)
-    pairs = by_name.unionByName(by_columns.select("left", "right")).distinct()
-    named = pairs.join(n.select(F.col("table_name").alias("left"), F.col("norm").alias("ln")), "left").join(n.select(F.col("table_name").alias("right"), F.col("norm").alias("rn")), "right")
-    scored = named.join(by_columns, ["left", "right"], "left").withColumn("name_pattern", jaro_winkler_udf("ln", "rn"))
-    out = scored.select("left", "right", F.round(combined_signal(F.col("column_overlap"), F.col("name_pattern"), F.col("type_compat")), 6).alias("confidence"))
-    return out.where((F.col("confidence") >= CROSS_SYSTEM_LEAST) & (F.lower("left") != F.lower("right")))
+    """cross_system_pairs of tables (table_name) and columns (table_name, column_name, data_type)."""
+    c = columns.groupBy("table_name").agg(F.collect_list(F.struct(F.col("column_name").alias("name"), "data_type")).alias("columns"))
+    return cross_system_pairs(tables.join(c, "table_name", "left").select(F.col("table_name").alias("id"), F.lit("Table").alias("kind"), F.col("table_name").alias("name"), "columns"))
 
 
 def free_text_matches(names: DataFrame, texts: DataFrame, most: int = FREE_TEXT_MOST) -> DataFrame:

@@ -431,8 +431,7 @@ def type_compat(spark, folder):
 
 @query("cross_system_candidates")
 def cross_system_candidates(spark, folder):
-    c = _columns(spark, folder)
-    return identity.cross_system_candidates(c.select("table_name").distinct(), c)
+    return identity.cross_system_pairs(T.current_endpoints(table(spark, folder, "objects")))
 
 
 @query(

@@ -2,22 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from graphloom.functions.ids import canonical_uuid
 from graphloom.operators.ledger import latest
 
 
-def object_versions(objects: DataFrame) -> DataFrame:
-    """(id, name, kind, evidence, created_at, status, sig): every row as a version, sig its content without created_at."""
+def object_versions(objects: DataFrame, *more: Column) -> DataFrame:
+    """(id, name, kind, evidence, created_at, status, sig, more): every row as a version, sig its content without created_at."""
     entries = F.array_join(F.array_sort(F.transform(F.map_entries("props"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
     sig = F.concat_ws("|", F.coalesce("obj_name", F.lit("")), F.coalesce("kind", F.lit("")), F.coalesce(entries, F.lit("")), F.coalesce(F.array_join("evidence", ",", "-"), F.lit("")))
-    return objects.where("id is not null").select(canonical_uuid("id").alias("id"), F.col("obj_name").alias("name"), "kind", "evidence", "created_at", F.trim(F.col("props")["status"], F.lit('"')).alias("status"), sig.alias("sig"))
+    return objects.where("id is not null").select(canonical_uuid("id").alias("id"), F.col("obj_name").alias("name"), "kind", "evidence", "created_at", F.trim(F.col("props")["status"], F.lit('"')).alias("status"), sig.alias("sig"), *more)
 
 
-def current_objects(objects: DataFrame) -> DataFrame:
+def current_objects(objects: DataFrame, *more: Column) -> DataFrame:
     """The latest version of each object, ties by content."""
-    return latest(object_versions(objects), "id", ["created_at", "sig"])
+    return latest(object_versions(objects, *more), "id", ["created_at", "sig"])
+
+
+def columns(props: Column) -> Column:
+    """(name, data_type) of each entry of the JSON list columns, which holds names or objects with a name; null without such a list."""
+    entry = lambda c: F.when(c.startswith("{"), F.struct(F.get_json_object(c, "$.name").alias("name"), F.get_json_object(c, "$.data_type").alias("data_type"))).otherwise(F.struct(c.alias("name"), F.lit(None).cast("string").alias("data_type")))
+    return F.filter(F.transform(F.from_json(props["columns"], "array<string>"), entry), lambda c: c["name"].isNotNull())
+
+
+def current_endpoints(objects: DataFrame) -> DataFrame:
+    """(id, kind, name, columns): current objects that stand for a table of some system, which are tables and Source and Sink nodes with the name they read or write."""
+    value = lambda k: F.trim(F.col("props")[k], F.lit('"'))
+    o = current_objects(objects, columns(F.col("props")).alias("columns"), value("node_type").alias("node_type"), value("object_name").alias("object_name"))
+    node = (F.col("kind") == "TransformNode") & F.col("node_type").isin("Source", "Sink") & (F.col("object_name") != "")
+    return o.where((F.col("kind") == "Table") | node).select("id", "kind", F.when(F.col("kind") == "Table", F.col("name")).otherwise(F.col("object_name")).alias("name"), "columns")
 
 
 def relationship_rows(relationships: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import ids, text
 from graphloom.operators import compile, context, docs, graph, identity, ledger, recovery, search, simulation
 from graphloom.plans import ekl, transform
-from graphloom.sources import readers
+from graphloom.sources import readers, tables
 from graphloom.streaming import ledger_stream
 from tests.conftest import rows
 
@@ -177,6 +177,43 @@ def test_identity(spark):
     assert [r["status"] for r in new.collect()] == ["confirmed"] and rows(events) == [("r", "Merged")]
 
 
+def test_cross_system_pairs(spark):
+    """All pairs by brute force, whatever their first letters, over current objects and in small blocks."""
+    rng = random.Random(5)
+    names = ["orders", "sales.order_raw", "order", "sales order", "zzz", "gold.customer", "cust_mstr", "ORDERS", "x"]
+    kinds = ["INT", "bigint", "text", "DATE"]
+    made = []
+    for i in range(40):
+        some = [{"name": n, "data_type": rng.choice(kinds)} for n in rng.sample(["id", "ID2", "owner", "day"], rng.randrange(4))]
+        node = rng.random() < 0.4
+        name = rng.choice(names)
+        props = {"node_type": json.dumps(rng.choice(["Source", "Sink", "Filter"])), "object_name": json.dumps(name), "columns": json.dumps([c["name"] for c in some])} if node else {"columns": json.dumps(some)}
+        made.append((f"{i:02}", f"f.sql:{i}" if node else name, "TransformNode" if node else "Table", props, [], T0))
+    made.append(("00", "orders", "Table", {"columns": "[]"}, [], datetime(2023, 1, 1)))  # an older version
+    raw = spark.createDataFrame(made, "id string, obj_name string, kind string, props map<string,string>, evidence array<string>, created_at timestamp")
+    ends = tables.current_endpoints(raw)
+    got = {(r["left"], r["right"]): r["confidence"] for r in identity.cross_system_pairs(ends, block=7).collect()}
+    o = ends.select("id", "kind", "name", text.cross_system_name(F.col("name")).alias("norm"), "columns").collect()
+    assert {r["id"] for r in o} == {m[0] for m in made[:40] if m[2] == "Table" or "Filter" not in m[3]["node_type"]}
+    family = lambda t: {"INT": "integer", "bigint": "integer", "text": "string", "DATE": "datetime"}[t]
+    want = {}
+    for a in o:
+        for b in o:
+            if a["id"] < b["id"] and not (a["kind"] == b["kind"] and a["name"].lower() == b["name"].lower()):
+                ca, cb = ({c["name"].lower(): c["data_type"] for c in x["columns"]} for x in (a, b))
+                total, weight = 0.4 * identity.jaro_winkler(a["norm"], b["norm"]), 0.4
+                if ca and cb:
+                    total, weight = total + 0.4 * len(ca.keys() & cb.keys()) / len(ca.keys() | cb.keys()), weight + 0.4
+                common = [k for k in ca if k in cb and ca[k] and cb[k]]
+                if common:
+                    total, weight = total + 0.2 * sum(family(ca[k]) == family(cb[k]) for k in common) / len(common), weight + 0.2
+                if round(total / weight, 6) >= 0.3:
+                    want[a["id"], b["id"]] = total / weight
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in got)
+    two = spark.createDataFrame([("order",), ("sales order",)], "table_name string")
+    assert identity.cross_system_candidates(two, spark.createDataFrame([], "table_name string, column_name string, data_type string")).count() == 1
+
+
 def test_compile(spark):
     o = spark.createDataFrame([("1", ["x", "y", "z"]), ("2", None), ("3", [])], "id string, evidence array<string>")
     e = spark.createDataFrame([("x", "low", 0.1), ("y", "high", 7.0), ("q", "no", 1.0)], "id string, fragment string, confidence float")
