@@ -107,35 +107,57 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+def structural(a: str, b: str) -> Column:
+    """How alike two objects of one kind are beside their names: Jaccard of their columns if both have some, else of their row cells if both have some, else 1."""
+    of = lambda c: (F.col(f"{a}.{c}"), F.col(f"{b}.{c}"))
+    both = lambda c: of(c)[0].isNotNull() & of(c)[1].isNotNull()
+    return F.when(both("columns"), jaccard(*of("columns"))).when(both("cells"), jaccard(*of("cells"))).otherwise(F.lit(1.0))
+
+
 def blocked_pairs(objects: DataFrame, excluded: list[str] = (), largest: int = 1000) -> DataFrame:
     """(left_id, right_id, left_name, right_name, kind, score) of objects (id, name, kind) of one kind whose normalised names share three first letters, at or above the threshold.
 
-    Equal comparable names are one class: its smallest id links to the others, and only classes are paired. Blocks of more than largest classes are
-    split by the length of the name, with neighbours in length met as well, so that no block is paired whole and no pair above the threshold is lost.
+    Objects may have columns and cells, sorted arrays or null, for the structural part of the score. Equal comparable names with equal columns and cells
+    are one class: its smallest id links to the others, and only classes are paired, through pairs of names that alone do not rule them out. Blocks of more
+    than largest names are split by the length of the name, with neighbours in length met as well, so that no block is paired whole and no pair above the
+    threshold is lost.
     """
-    named = objects.where(~F.col("kind").isin(list(excluded)) if excluded else F.lit(True)).select("id", "kind", comparable_name(F.col("name"), F.col("kind")).alias("shown"), normalized_name(F.col("name")).alias("norm"))
+    structure = [F.col(c) if c in objects.columns else F.lit(None).cast("array<string>").alias(c) for c in ("columns", "cells")]
+    named = objects.where(~F.col("kind").isin(list(excluded)) if excluded else F.lit(True)).select("id", "kind", comparable_name(F.col("name"), F.col("kind")).alias("shown"), normalized_name(F.col("name")).alias("norm"), *structure)
     named = named.where((F.col("norm") != "") & ((F.col("kind") != "Concept") | ((F.size(F.split("norm", " ")) >= 2) & (F.length("norm") >= 8))))
-    named = named.select("id", "kind", F.substring("norm", 1, 3).alias("block"), normalized_name(F.col("shown")).alias("key"))
-    classes = cut(named.groupBy("kind", "block", "key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")))
-    copies = named.join(classes, ["kind", "block", "key"]).where("id <> first").select(F.col("first").alias("left_id"), F.col("id").alias("right_id"), F.col("key").alias("left_name"), F.col("key").alias("right_name"), "kind", F.lit(1.0).alias("score"))
-    heavy = classes.groupBy("kind", "block").agg((F.count(F.lit(1)) > largest).alias("heavy"))
+    named = cut(named.select("id", "kind", F.substring("norm", 1, 3).alias("block"), normalized_name(F.col("shown")).alias("key"), "columns", "cells"))
+    classes = cut(named.groupBy("kind", "block", "key", "columns", "cells").agg(F.min("id").alias("first")))
+    n, c = named.alias("n"), classes.alias("c")
+    equal = F.lit(True)
+    for x in ("kind", "block", "key", "columns", "cells"):
+        equal = equal & F.col(f"n.{x}").eqNullSafe(F.col(f"c.{x}"))
+    copies = n.join(c, equal).where("id <> first").select(F.col("first").alias("left_id"), F.col("id").alias("right_id"), F.col("n.key").alias("left_name"), F.col("n.key").alias("right_name"), F.col("n.kind").alias("kind"), F.lit(1.0).alias("score"))
+    keys = cut(classes.groupBy("kind", "block", "key").agg(F.count(F.lit(1)).alias("n")))
+    heavy = keys.groupBy("kind", "block").agg((F.count(F.lit(1)) > largest).alias("heavy"))
     # a score of 0.9 needs a Jaro of at least 0.76, so the shorter name has at least half the letters of the longer
     cell = F.when(F.col("heavy"), F.floor(F.log2(F.greatest(F.length("key"), F.lit(1)))).cast("int")).otherwise(0)
-    sized = classes.join(heavy, ["kind", "block"]).withColumn("cell", cell)
+    sized = keys.join(heavy, ["kind", "block"]).withColumn("cell", cell)
     left = sized.withColumn("cell", F.explode(F.when(F.col("heavy"), F.array(F.col("cell"), F.col("cell") + 1)).otherwise(F.array("cell"))))
     l, r = left.alias("l"), sized.alias("r")
     on = (F.col("l.kind") == F.col("r.kind")) & (F.col("l.block") == F.col("r.block")) & (F.col("l.cell") == F.col("r.cell"))
     once = (F.length("l.key") < F.length("r.key")) | ((F.length("l.key") == F.length("r.key")) & (F.col("l.key") < F.col("r.key")))
-    near = l.join(r, on & once & (F.length("r.key") <= 2 * F.length("l.key") + 1)).select(F.col("l.first").alias("a"), F.col("r.first").alias("b"), F.col("l.key").alias("ka"), F.col("r.key").alias("kb"), F.col("l.kind").alias("kind"))
-    scored = near.withColumn("score", F.round(0.7 * jaro_winkler_udf("ka", "kb") + 0.3, 6)).where(F.col("score") >= F.when(F.col("kind") == "Concept", CONCEPT_THRESHOLD).otherwise(THRESHOLD))
-    flip = F.col("a") > F.col("b")
-    ordered = scored.select(F.when(flip, F.col("b")).otherwise(F.col("a")).alias("left_id"), F.when(flip, F.col("a")).otherwise(F.col("b")).alias("right_id"), F.when(flip, F.col("kb")).otherwise(F.col("ka")).alias("left_name"), F.when(flip, F.col("ka")).otherwise(F.col("kb")).alias("right_name"), "kind", "score")
+    near = l.join(r, on & once & (F.length("r.key") <= 2 * F.length("l.key") + 1)).select(F.col("l.kind").alias("kind"), F.col("l.block").alias("block"), F.col("l.key").alias("ka"), F.col("r.key").alias("kb"))
+    least = F.when(F.col("kind") == "Concept", CONCEPT_THRESHOLD).otherwise(THRESHOLD)
+    alike = near.withColumn("jw", jaro_winkler_udf("ka", "kb")).where(F.round(0.7 * F.col("jw") + 0.3, 6) >= least)
+    alike = alike.unionByName(keys.where("n > 1").select("kind", "block", F.col("key").alias("ka"), F.col("key").alias("kb"), F.lit(1.0).alias("jw")))
+    side = lambda k, name: classes.select("kind", "block", F.col("key").alias(k), F.struct("first", "columns", "cells").alias(name))
+    met = alike.join(side("ka", "a"), ["kind", "block", "ka"]).join(side("kb", "b"), ["kind", "block", "kb"]).where((F.col("ka") != F.col("kb")) | (F.col("a.first") < F.col("b.first")))
+    scored = met.withColumn("score", F.round(0.7 * F.col("jw") + 0.3 * structural("a", "b"), 6)).where(F.col("score") >= least)
+    flip = F.col("a.first") > F.col("b.first")
+    one = lambda x, y: F.when(flip, F.col(y)).otherwise(F.col(x))
+    ordered = scored.select(one("a.first", "b.first").alias("left_id"), one("b.first", "a.first").alias("right_id"), one("ka", "kb").alias("left_name"), one("kb", "ka").alias("right_name"), "kind", "score")
     return copies.unionByName(ordered)
 
 
 def merge_groups(pairs: DataFrame, most_rounds: int = 30) -> DataFrame:
-    """(id, canonical_id, exact): records linked by pairs (left_id, right_id, score) take the smallest id of their group; exact if no pair of the group is below 1."""
-    both = cut(pairs.select(F.col("left_id").alias("u"), F.col("right_id").alias("v"), "score").unionByName(pairs.select(F.col("right_id").alias("u"), F.col("left_id").alias("v"), "score")))
+    """(id, canonical_id, exact): records linked by pairs (left_id, right_id, left_name, right_name) take the smallest id of their group; exact if all names of the group are equal."""
+    same = (F.col("left_name") == F.col("right_name")).alias("same")
+    both = cut(pairs.select(F.col("left_id").alias("u"), F.col("right_id").alias("v"), same).unionByName(pairs.select(F.col("right_id").alias("u"), F.col("left_id").alias("v"), same)))
     label = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("label")))
     for _ in range(most_rounds):
         near = both.join(label.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("label").alias("m"))
@@ -145,7 +167,7 @@ def merge_groups(pairs: DataFrame, most_rounds: int = 30) -> DataFrame:
         label = jumped.select("u", F.col("nxt").alias("label"))
         if jumped.where("nxt <> label").isEmpty():
             break
-    exact = both.join(label, "u").groupBy("label").agg((F.min("score") >= 1.0).alias("exact"))
+    exact = both.join(label, "u").groupBy("label").agg(F.min("same").alias("exact"))
     return label.join(exact, "label").select(F.col("u").alias("id"), F.col("label").alias("canonical_id"), "exact")
 
 

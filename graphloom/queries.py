@@ -403,7 +403,7 @@ def identity_conflicts(spark, folder):
 
 @query("jw_blocked_pairs")
 def jw_blocked_pairs(spark, folder):
-    return identity.blocked_pairs(T.current_objects(table(spark, folder, "objects")))
+    return identity.blocked_pairs(T.structured_objects(table(spark, folder, "objects")))
 
 
 @query("merge_groups")

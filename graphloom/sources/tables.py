@@ -26,6 +26,14 @@ def columns(props: Column) -> Column:
     return F.filter(F.transform(F.from_json(props["columns"], "array<string>"), entry), lambda c: c["name"].isNotNull())
 
 
+def structured_objects(objects: DataFrame) -> DataFrame:
+    """current_objects with the lower-cased names of their columns and texts of their row cells, sorted and distinct; null where there are none."""
+    some = lambda a: F.when(F.size(a) > 0, F.array_sort(F.array_distinct(a)))
+    rows = F.transform(F.from_json(F.col("props")["rows"], "array<string>"), lambda r: F.coalesce(F.from_json(r, "array<string>"), F.array().cast("array<string>")))
+    cells = F.filter(F.transform(F.flatten(rows), lambda c: F.lower(F.trim(c))), lambda c: c.isNotNull() & (c != ""))
+    return current_objects(objects, some(F.transform(columns(F.col("props")), lambda c: F.lower(c["name"]))).alias("columns"), some(cells).alias("cells"))
+
+
 def current_endpoints(objects: DataFrame) -> DataFrame:
     """(id, kind, name, columns): current objects that stand for a table of some system, which are tables and Source and Sink nodes with the name they read or write."""
     value = lambda k: F.trim(F.col("props")[k], F.lit('"'))

@@ -177,6 +177,17 @@ def test_identity(spark):
     assert [r["status"] for r in new.collect()] == ["confirmed"] and rows(events) == [("r", "Merged")]
 
 
+def test_structural_score(spark):
+    cols = lambda *names: {"columns": json.dumps([{"name": n, "data_type": "INT"} for n in names])}
+    made = [("a", "audit.ward_bed", cols("id", "x")), ("b", "audit.ward_bed", cols("owner")), ("c", "audit.ward_bed", cols("X", "ID")), ("d", "audit.ward_bed", None), ("e", "audit.ward_beds", cols("id", "x")), ("f", "audit.ward_bed", cols("id", "x", "y")), ("g", "doc table one", {"rows": '[["A", " b"]]'}), ("h", "doc table one", {"rows": '[["z"]]'})]
+    raw = spark.createDataFrame([(i, n, "Table", p, [], T0) for i, n, p in made], "id string, obj_name string, kind string, props map<string,string>, evidence array<string>, created_at timestamp")
+    got = {(r["left_id"], r["right_id"]): r["score"] for r in identity.blocked_pairs(tables.structured_objects(raw)).collect()}
+    close = round(0.7 * identity.jaro_winkler("ward bed", "ward beds") + 0.3, 6)
+    assert got == {("a", "c"): 1.0, ("a", "d"): 1.0, ("b", "d"): 1.0, ("d", "f"): 1.0, ("a", "f"): 0.9, ("a", "e"): close, ("d", "e"): close}
+    groups = identity.merge_groups(identity.blocked_pairs(tables.structured_objects(raw.where("id in ('a', 'f', 'g', 'h')")))).collect()
+    assert sorted(tuple(r) for r in groups) == [("a", "a", True), ("f", "a", True)]
+
+
 def test_cross_system_pairs(spark):
     """All pairs by brute force, whatever their first letters, over current objects and in small blocks."""
     rng = random.Random(5)
