@@ -134,14 +134,14 @@ def blocked_pairs(objects: DataFrame, excluded: list[str] = (), largest: int = 1
     copies = n.join(c, equal).where("id <> first").select(F.col("first").alias("left_id"), F.col("id").alias("right_id"), F.col("n.key").alias("left_name"), F.col("n.key").alias("right_name"), F.col("n.kind").alias("kind"), F.lit(1.0).alias("score"))
     keys = cut(classes.groupBy("kind", "block", "key").agg(F.count(F.lit(1)).alias("n")))
     heavy = keys.groupBy("kind", "block").agg((F.count(F.lit(1)) > largest).alias("heavy"))
-    # a score of 0.9 needs a Jaro of at least 0.76, so the shorter name has at least half the letters of the longer
+    # a score of 0.9 needs a Jaro of at least 0.762, which the shorter name can reach with 2/7 of the letters of the longer; so cells reach two steps up
     cell = F.when(F.col("heavy"), F.floor(F.log2(F.greatest(F.length("key"), F.lit(1)))).cast("int")).otherwise(0)
     sized = keys.join(heavy, ["kind", "block"]).withColumn("cell", cell)
-    left = sized.withColumn("cell", F.explode(F.when(F.col("heavy"), F.array(F.col("cell"), F.col("cell") + 1)).otherwise(F.array("cell"))))
+    left = sized.withColumn("cell", F.explode(F.when(F.col("heavy"), F.array(*[F.col("cell") + i for i in range(3)])).otherwise(F.array("cell"))))
     l, r = left.alias("l"), sized.alias("r")
     on = (F.col("l.kind") == F.col("r.kind")) & (F.col("l.block") == F.col("r.block")) & (F.col("l.cell") == F.col("r.cell"))
     once = (F.length("l.key") < F.length("r.key")) | ((F.length("l.key") == F.length("r.key")) & (F.col("l.key") < F.col("r.key")))
-    near = l.join(r, on & once & (F.length("r.key") <= 2 * F.length("l.key") + 1)).select(F.col("l.kind").alias("kind"), F.col("l.block").alias("block"), F.col("l.key").alias("ka"), F.col("r.key").alias("kb"))
+    near = l.join(r, on & once & (2 * F.length("r.key") <= 7 * F.length("l.key") + 1)).select(F.col("l.kind").alias("kind"), F.col("l.block").alias("block"), F.col("l.key").alias("ka"), F.col("r.key").alias("kb"))
     least = F.when(F.col("kind") == "Concept", CONCEPT_THRESHOLD).otherwise(THRESHOLD)
     alike = near.withColumn("jw", jaro_winkler_udf("ka", "kb")).where(F.round(0.7 * F.col("jw") + 0.3, 6) >= least)
     alike = alike.unionByName(keys.where("n > 1").select("kind", "block", F.col("key").alias("ka"), F.col("key").alias("kb"), F.lit(1.0).alias("jw")))

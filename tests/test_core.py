@@ -188,6 +188,18 @@ def test_structural_score(spark):
     assert sorted(tuple(r) for r in groups) == [("a", "a", True), ("f", "a", True)]
 
 
+def test_blocked_pairs_of_any_length(spark):
+    """Brute force with names of up to 3.5 times the letters, in whole and in split blocks."""
+    rng = random.Random(8)
+    names = {"adam", "adam rutkowski", "orders", "orders archive 2024", "order", "order archive"} | {"abcd"[: rng.randrange(3, 5)] + "".join(rng.choices("abcde ", k=rng.randrange(12))).rstrip() for _ in range(150)}
+    names = sorted({" ".join(n.split()) for n in names})
+    o = spark.createDataFrame([(n, "Person", n) for n in names], "id string, kind string, name string")
+    want = {(a, b) for a in names for b in names if a < b and a[:3] == b[:3] and round(0.7 * identity.jaro_winkler(*sorted((a, b), key=lambda x: (len(x), x))) + 0.3, 6) >= 0.9}
+    assert {("adam", "adam rutkowski"), ("order", "order archive"), ("orders", "orders archive 2024")} <= want
+    for largest in (1000, 1):
+        assert {tuple(sorted((r["left_id"], r["right_id"]))) for r in identity.blocked_pairs(o, largest=largest).collect()} == want
+
+
 def test_cross_system_pairs(spark):
     """All pairs by brute force, whatever their first letters, over current objects and in small blocks."""
     rng = random.Random(5)
