@@ -7,7 +7,7 @@ Monge-Elkan similarity of their tokens together with the evidence of their addre
 repeated on the stars until none is linked to another.
 
 Scale: bands are built over distinct spellings, never over rows; bands of spellings of people are split by address domain or
-given name; a bucket of more than BUCKET spellings is split by further minhashes. Copies are linked to one representative.
+given name; a bucket of more than BUCKET spellings is split into blocks that meet block against block. Copies are linked to one representative.
 """
 
 from __future__ import annotations
@@ -206,24 +206,21 @@ _PRIME = (1 << 31) - 1
 
 
 def band_keys(texts: list[str], bands: int, rows: int) -> list[list[int]]:
-    """The key of each band of each text, with EXTRA further minhashes at the end."""
+    """The key of each band of each text."""
     rng = np.random.default_rng(SEED)
-    n = bands * rows + EXTRA
-    mul, add = rng.integers(1, _PRIME, n, dtype=np.int64), rng.integers(0, _PRIME, n, dtype=np.int64)
+    n = bands * rows
+    # four draws more than used, so that the bands are those of earlier results
+    mul, add = rng.integers(1, _PRIME, n + 4, dtype=np.int64)[:n], rng.integers(0, _PRIME, n + 4, dtype=np.int64)[:n]
     weights = np.array([1_000_003**i % _PRIME for i in range(rows)], np.int64)
     known: dict[str, int] = {}
     out = []
     for t in texts:
         codes = np.array([known.setdefault(g, _code(g)) for g in set(grams(t))], np.int64)
         low = ((codes[:, None] % _PRIME * mul[None, :] % _PRIME + add[None, :]) % _PRIME).min(axis=0)
-        keys = (low[: bands * rows].reshape(bands, rows) % 65_521 * weights).sum(axis=1)
-        out.append([*keys.tolist(), *low[bands * rows :].tolist()])
+        out.append((low.reshape(bands, rows) % 65_521 * weights).sum(axis=1).tolist())
     return out
 
 
-EXTRA = 4
-
-
 def _code(gram: str) -> int:
     h = 2_166_136_261
     for b in gram.encode("utf-8"):
@@ -234,8 +231,8 @@ def _code(gram: str) -> int:
 def similar_spellings(spellings: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS, bucket: int = BUCKET) -> DataFrame:
     """(view, left, right): ids of different spellings of one view that share a band within their block.
 
-    spellings has (view, block, id, text, is_left, is_right), one row a spelling. Buckets of more than bucket spellings are split by EXTRA further
-    minhashes, each a bucket of its own, so that similar spellings still meet.
+    spellings has (view, block, id, text, is_left, is_right), one row a spelling. Buckets of more than bucket spellings are dealt into blocks of about
+    that size, and each block of left spellings meets each of right ones in a bucket of its own, so that no pair is lost.
     """
     bands = bands_for(similarity, recall, rows)
 
@@ -244,15 +241,13 @@ def similar_spellings(spellings: DataFrame, similarity: float = SIMILARITY, reca
         return pd.Series(band_keys(texts.tolist(), bands, rows))
 
     k = spellings.select("view", "id", "is_left", "is_right", F.xxhash64("view", "block").alias("block"), keys("text").alias("k"))
-    banded = cut(
-        k.select("view", "id", "is_left", "is_right", "block", F.slice("k", bands + 1, EXTRA).alias("more"), F.posexplode(F.slice("k", 1, bands)).alias("band", "key"))
-        .withColumn("bucket", F.xxhash64("block", "band", "key")).drop("block", "band", "key")
-    )
+    banded = cut(k.select("view", "id", "is_left", "is_right", "block", F.posexplode("k").alias("band", "key")).withColumn("bucket", F.xxhash64("block", "band", "key")).drop("block", "band", "key"))
     sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")  # a spelling alone in its bucket meets nobody
-    parts = F.when(F.col("n") > bucket, F.transform(F.col("more"), lambda x, i: F.xxhash64("bucket", x, i))).otherwise(F.array("bucket"))
-    placed = cut(banded.join(sizes.hint("merge"), "bucket").select("view", "id", "is_left", "is_right", F.explode(parts).alias("bucket")))
-    left = placed.where("is_left").select("bucket", "view", F.col("id").alias("left"))
-    right = placed.where("is_right").select("bucket", F.col("id").alias("right"))
+    parts = F.ceil(F.col("n") / bucket).cast("int")
+    placed = cut(banded.join(sizes.hint("merge"), "bucket").withColumn("parts", parts).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")))
+    dealt = lambda df, *order: df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("bucket", F.when(F.col("parts") > 1, F.xxhash64("bucket", *order)).otherwise(F.col("bucket")))
+    left = dealt(placed.where("is_left"), "mine", "other").select("bucket", "view", F.col("id").alias("left"))
+    right = dealt(placed.where("is_right"), "other", "mine").select("bucket", F.col("id").alias("right"))
     return cut(left.join(right.hint("merge"), "bucket").where("left <> right").select("view", "left", "right").distinct())
 
 

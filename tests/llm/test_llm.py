@@ -57,6 +57,14 @@ def test_hot_address(spark):
     assert got == [list(range(60)), [60]]
 
 
+def test_split_buckets_lose_no_pair(spark):
+    rng = random.Random(3)
+    words = sorted({"kowal" + "".join(rng.choices("skiyna", k=rng.randrange(1, 6))) for _ in range(150)})
+    s = spark.createDataFrame([("v", "b", w, w, i % 3 > 0, i % 3 < 2) for i, w in enumerate(words)], "view string, block string, id string, text string, is_left boolean, is_right boolean")
+    whole = rows(names.similar_spellings(s, bucket=10**6))
+    assert len(whole) > 1000 and rows(names.similar_spellings(s, bucket=4)) == whole
+
+
 def test_collision_curve():
     for s in (0.4, 0.5, 0.7):
         b = names.bands_for(s, 0.95, 3)
