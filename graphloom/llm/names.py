@@ -325,9 +325,12 @@ def local_names(local: str) -> tuple[str, str] | None:
     return None
 
 
+_MIDDLE = r"^[a-z]{2,}\.([a-z])\.[a-z.-]{2,}$"
+
+
 def middle_of(local: str) -> str:
     """The middle initial of first.m.last, by which namesakes tell their addresses apart."""
-    m = re.fullmatch(r"[a-z]{2,}\.([a-z])\.[a-z.-]{2,}", local)
+    m = re.fullmatch(_MIDDLE, local)
     return m.group(1) if m else ""
 
 
@@ -360,6 +363,15 @@ def spelled(local: str, given: str, surname: str) -> bool:
     return bool(n and "." in local and same_given(n[0], given) and edits("".join(re.split(r"[._]", local)[1:]).replace("-", ""), surname, 2) <= 1)
 
 
+def close_names(a: str, b: str) -> float:
+    """How alike two names of a given name and a surname are; 0 where neither addresses nor loose spellings of them could agree but by an equal local part."""
+    (ga, _, sa), (gb, _, sb) = a.partition(" "), b.partition(" ")
+    if not same_given(ga, gb) or edits(sa, sb, 3) > (2 if min(len(sa), len(sb)) > 6 else 1):
+        return 0.0
+    me = monge_elkan([ga, sa], [gb, sb])
+    return me if me >= NAME_ENOUGH else 0.0
+
+
 def verify_loose(kind: str, loose: tuple, known: tuple) -> float:
     """How sure a loose spelling (local, domain, given, surname) is the person of an address; 0 if not enough."""
     (ll, dl, gl, sl, ml), (la, da, ga, sa) = loose, known
@@ -404,25 +416,54 @@ def links(rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
     spelled_out = persons.where("local rlike '^[a-z-]{2,}[._][a-z._-]+$'")
     by_name = persons.where("surname <> ''").select("node", F.concat_ws(" ", "given", "surname").alias("text")).unionByName(spelled_out.select("node", _local_text("local").alias("text"))).distinct()
     ones = persons.select("node", "local", "domain", "given", "surname", "n")
-
-    def to_first(groups: DataFrame) -> DataFrame:
-        first = groups.join(persons.select("node", "n"), "node").groupBy("text").agg(F.max_by("node", F.struct("n", "node")).alias("first"))
-        return groups.join(first, "text").where("node <> first").select(F.col("first").alias("left"), F.col("node").alias("right"))
-
-    same_local = to_first(persons.select("node", F.col("local").alias("text")))
-    same_name = to_first(by_name)
+    members = cut(by_name.join(ones, "node"))
+
+    def first(groups: DataFrame, *by: str) -> DataFrame:
+        return cut(groups.groupBy(*by).agg(F.max_by("node", F.struct("n", "node")).alias("first")))
+
+    def star(groups: DataFrame, classes: DataFrame, *by: str) -> DataFrame:
+        return groups.join(classes, list(by)).where("node <> first").select(F.col("first").alias("left"), F.col("node").alias("right"))
+
+    def across(a: DataFrame, b: DataFrame, *by: str) -> DataFrame:
+        return a.join(b.withColumnRenamed("first", "other"), list(by)).where("first <> other").select(F.col("first").alias("left"), F.col("other").alias("right"))
+
+    # what the verifier looks at beside an equal local part are the names, beside equal names the domain with the middle initial, or the local part if it
+    # is spelled out; addresses equal in that are one class, all or none of which agree, and classes meet each other
+    named = members.withColumn("middle", F.regexp_extract("local", _MIDDLE, 1))
+    by_local = first(ones, "local", "given", "surname")
+    at_domain = first(named, "text", "domain", "given", "surname", "middle")
+    in_name = first(members, "text", "local", "given", "surname")
+    short = lambda df, *by: df.select(*by, "first")
+    dotted = in_name.where(F.col("local").contains(".")).select("text", "first")
+    exact = (
+        star(ones, by_local, "local", "given", "surname").unionByName(across(short(by_local, "local"), short(by_local, "local"), "local"))
+        .unionByName(star(named, at_domain, "text", "domain", "given", "surname", "middle")).unionByName(across(short(at_domain, "text", "domain"), short(at_domain, "text", "domain"), "text", "domain"))
+        .unionByName(across(dotted, short(in_name, "text"), "text"))
+    )
     surnames = lambda df: df.select(_initial("given").alias("block"), F.col("surname").alias("text")).distinct().select("block", F.concat_ws(":", "block", "text").alias("id"), "text")
+    full_names = lambda df: df.where("surname <> '' and given <> ''").select(F.concat_ws(" ", "given", "surname").alias("text"))
     has = persons.where("surname <> ''")
     yes, no = F.lit(True), F.lit(False)
     view = lambda df, v, left, right: df.select(F.lit(v).alias("view"), "block", "id", "text", left.alias("is_left"), right.alias("is_right"))
     spellings = (
         view(persons.select(F.col("node").alias("id"), F.col("domain").alias("block"), F.col("local").alias("text")), "local", yes, yes)
         .unionByName(view(surnames(loose), "surname", yes, no)).unionByName(view(surnames(has), "surname", no, yes))
+        .unionByName(view(full_names(persons).unionByName(full_names(loose)).distinct().select(F.lit("").alias("block"), F.col("text").alias("id"), "text"), "name", yes, yes))
         .unionByName(view(orgs.select(F.col("node").alias("id"), F.substring("text", 1, 1).alias("block"), "text"), "org", yes, yes))
     )
     near = similar_spellings(spellings, bucket=bucket)
     near_local = near.where("view = 'local' and left < right").select("left", "right")
-    pairs = same_local.unionByName(same_name).unionByName(near_local).distinct()
+
+    # names that differ a little: addresses of one domain, and spelled out local parts with any
+    @F.pandas_udf("double")
+    def close(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([close_names(x, y) for x, y in zip(a, b)], dtype="float64")
+
+    close_pairs = cut(near.where("view = 'name' and left < right").select("left", "right").withColumn("score", close("left", "right")).where("score > 0").select("left", "right"))
+    both_ways = close_pairs.unionByName(close_pairs.select(F.col("right").alias("left"), F.col("left").alias("right")))
+    to_close = lambda df: df.withColumnRenamed("text", "left").join(both_ways, "left").drop("left").withColumnRenamed("right", "text")
+    misspelled = across(to_close(short(at_domain, "text", "domain")), short(at_domain, "text", "domain"), "text", "domain").unionByName(across(to_close(dotted), short(in_name, "text"), "text"))
+    pairs = exact.unionByName(misspelled).select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right")).unionByName(near_local).distinct()
     side = lambda p, *more: F.struct(*[F.col(f"{p}.{c}") for c in ("local", "domain", "given", "surname", *more)])
 
     @F.pandas_udf("double")
@@ -451,8 +492,10 @@ def links(rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
     best_person = cut(met.groupBy(F.col("a.node").alias("u")).agg(F.max_by("b.node", F.struct("score", F.col("b.n"), F.col("b.node"))).alias("v")))
     # loose spellings of one name keep together, unless a person was found for each
     twins = loose.join(best_person.select(F.col("u").alias("node")), "node", "left_anti").select("node", F.concat_ws(" ", "given", "surname").alias("text")).where("length(given) > 1")
-    first = twins.groupBy("text").agg(F.min("node").alias("first"))
-    together = twins.join(first, "text").where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    one = cut(twins.groupBy("text").agg(F.min("node").alias("first")))
+    together = twins.join(one, "text").where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    end = lambda c, name: one.select(F.col("text").alias(c), F.col("first").alias(name))
+    together = together.unionByName(close_pairs.join(end("left", "u"), "left").join(end("right", "v"), "right").select("u", "v"))
 
     # organisations
     @F.pandas_udf("double")

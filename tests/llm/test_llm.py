@@ -65,6 +65,17 @@ def test_split_buckets_lose_no_pair(spark):
     assert len(whole) > 1000 and rows(names.similar_spellings(s, bucket=4)) == whole
 
 
+def test_people_who_fail_against_the_first(spark):
+    hubs = [("John Smith", "jsmith@a.test")] * 3 + [("Jane Smith", "jx1@c.test")] * 3
+    got = _classes(names.entities(_people(spark, [*hubs, ("Jane Smith", "jsmith@b.test"), ("Jane Smith", "jsmith@d.test")])))
+    assert [6, 7] in got
+
+
+def test_misspelled_names_meet(spark):
+    got = _classes(names.entities(_people(spark, [("Anna Kowlaski", "akow@x.test"), ("Anna Kowalski", "anna.kowalski@y.test"), ("Bert Tessenbrink", None), ("Bert Tessenbrinc", None), ("Otto Tal", None)])))
+    assert got == [[0, 1], [2, 3], [4]]
+
+
 def test_collision_curve():
     for s in (0.4, 0.5, 0.7):
         b = names.bands_for(s, 0.95, 3)
