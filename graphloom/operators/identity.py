@@ -14,7 +14,7 @@ from graphloom.session import cut
 THRESHOLD, CONCEPT_THRESHOLD = 0.90, 0.95
 WEIGHTS = {"column_overlap": 0.4, "name_pattern": 0.4, "type_compat": 0.2}
 CROSS_SYSTEM_LEAST = 0.3
-FREE_TEXT_MOST = 20
+FREE_TEXT_MOST, FREE_TEXT_WORD = 20, 0.90
 #: Objects that meet those of another block in one row.
 PAIR_BLOCK = 1000
 
@@ -289,13 +289,31 @@ def cross_system_candidates(tables: DataFrame, columns: DataFrame) -> DataFrame:
 
 
 def free_text_matches(names: DataFrame, texts: DataFrame, most: int = FREE_TEXT_MOST) -> DataFrame:
-    """(name_id, text_id, score): for each name the best texts (a top-k report) by the share of its words that occur in them; texts that share no word do not meet."""
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: F.octet_length(w) >= 3))
-    n = names.select(F.col("id").alias("name_id"), F.size(words(F.col("name"))).alias("n"), F.explode(words(F.col("name"))).alias("word"))
-    t = texts.select(F.col("id").alias("text_id"), F.explode(words(F.col("text"))).alias("word"))
-    hits = n.join(t, "word").groupBy("name_id", "text_id", "n").agg(F.count(F.lit(1)).alias("k")).select("name_id", "text_id", F.round(F.col("k") / F.col("n"), 6).alias("score"))
-    w = Window.partitionBy("name_id").orderBy(F.desc("score"), "text_id")
-    return hits.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
+    """(name_id, text_id, score): for each name the best texts (a top-k report) by the share of its words that are like a word of theirs, at least 0.3.
+
+    Words are alike at a Jaro-Winkler of 0.90, which needs a Jaro of 5/6 and so half the letters of the longer word. Each two different words are compared
+    once, and each different name of names is matched once.
+    """
+    n = names.select(F.col("id").alias("name_id"), cross_system_name(F.col("name")).alias("norm")).where("norm <> ''")
+    concepts = cut(n.select("norm").distinct().select("norm", F.posexplode(F.split("norm", " ")).alias("position", "word")))
+    tokens = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: F.octet_length(w) >= 3))
+    t = cut(texts.select(F.col("id").alias("text_id"), F.explode(tokens).alias("token")))
+    cell = lambda c: F.floor(F.log2(F.length(c))).cast("int")
+    w = concepts.select("word").distinct().withColumn("cell", F.explode(F.array(*[cell("word") + i for i in (-1, 0, 1)])))
+    met = w.join(t.select("token").distinct().withColumn("cell", cell("token")), "cell").where((2 * F.length("word") >= F.length("token")) & (2 * F.length("token") >= F.length("word")))
+    alike = met.withColumn("jw", jaro_winkler_udf("word", "token")).where(F.col("jw") >= FREE_TEXT_WORD - 1e-9).select("word", "token")
+    size = concepts.groupBy("norm").agg(F.count(F.lit(1)).alias("n"))
+    hits = concepts.join(alike, "word").join(t, "token").groupBy("norm", "text_id").agg(F.count_distinct("position").alias("k")).join(size, "norm").select("norm", "text_id", F.round(F.col("k") / F.col("n"), 6).alias("score"))
+    best = Window.partitionBy("norm").orderBy(F.desc("score"), "text_id")
+    kept = hits.where(F.col("score") >= CROSS_SYSTEM_LEAST).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= most)
+    return n.join(kept, "norm").select("name_id", "text_id", "score")
+
+
+def review_links(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """(from, to, kind, status, confidence): an unconfirmed SameAs from the canonical object to each other member of groups whose names differ, with the best score of the group's pairs."""
+    best = pairs.join(groups.select(F.col("id").alias("left_id"), "canonical_id"), "left_id").groupBy("canonical_id").agg(F.max("score").alias("confidence"))
+    fuzzy = groups.where("not exact and id <> canonical_id").join(best, "canonical_id")
+    return fuzzy.select(F.col("canonical_id").alias("from"), F.col("id").alias("to"), F.lit("SameAs").alias("kind"), F.lit("unconfirmed").alias("status"), "confidence")
 
 
 def unlinked(pairs: DataFrame, relationships: DataFrame) -> DataFrame:

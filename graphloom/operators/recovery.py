@@ -46,6 +46,22 @@ def issue_links(items: DataFrame) -> DataFrame:
     return closed.unionByName(mentioned).select("repo", F.col("number").alias("from_number"), "to_number", "kind")
 
 
+def file_references(items: DataFrame) -> DataFrame:
+    """(from_id, path, kind): References from each item (id, files_changed) to each file it changes, once each."""
+    return items.select(F.col("id").alias("from_id"), F.explode("files_changed").alias("path"), F.lit("References").alias("kind")).where("path is not null").distinct()
+
+
+SECTION_EXCERPT = 1200
+
+
+def document_parts(documents: DataFrame) -> DataFrame:
+    """(from_id, to_id, kind, part, excerpt): Contains from each document (doc_id, text) to its sections, with their first 1,200 characters, and to its text tables."""
+    of = lambda part, n: F.concat(F.col("doc_id").cast("string"), F.lit(f"#{part}-"), n.cast("string"))
+    row = lambda part, n, shown: [F.col("doc_id").cast("string").alias("from_id"), of(part, n).alias("to_id"), F.lit("Contains").alias("kind"), F.lit(part).alias("part"), shown.alias("excerpt")]
+    sections = documents.select("doc_id", F.posexplode(text.chunks(F.col("text"))).alias("position", "section")).select(*row("section", F.col("position") + 1, text.excerpt(F.col("section"), SECTION_EXCERPT)))
+    return sections.unionByName(text_tables(documents).select(*row("table", F.col("first_line"), F.lit(None).cast("string"))))
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     """(from_id, to_id, kind) of pages (id, parent_id, title, body): Contains from parents, seen or not, and References by exact title within the batch."""
     contains = pages.where("parent_id is not null").select(F.col("parent_id").alias("from_id"), F.col("id").alias("to_id"), F.lit("Contains").alias("kind"))

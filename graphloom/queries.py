@@ -411,6 +411,19 @@ def merge_groups(spark, folder):
     return identity.merge_groups(jw_blocked_pairs(spark, folder))
 
 
+@query("review_links")
+def review_links(spark, folder):
+    pairs = cut(jw_blocked_pairs(spark, folder))
+    return identity.review_links(pairs, identity.merge_groups(pairs))
+
+
+@query("free_text_candidates")
+def free_text_candidates(spark, folder):
+    objects = table(spark, folder, "objects")
+    texts = T.current_objects(objects).where("kind in ('File', 'Issue', 'PullRequest')").select("id", text.comparable_name(F.col("name"), F.col("kind")).alias("text"))
+    return identity.free_text_matches(T.current_endpoints(objects), texts)
+
+
 def _columns(spark, folder):
     """Columns of the test tables named in manifests of this code's own data model."""
     names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
@@ -510,6 +523,16 @@ def cooccurrence_coupling(spark, folder):
     return recovery.co_changes(table(spark, folder, "commits"))
 
 
+@query("file_references")
+def file_references(spark, folder):
+    return recovery.file_references(table(spark, folder, "commits").where("sha is not null").select(F.col("sha").alias("id"), "files_changed"))
+
+
+@query("document_parts")
+def document_parts(spark, folder):
+    return recovery.document_parts(table(spark, folder, "documents").where("text is not null").select("doc_id", "text"))
+
+
 @query("contributor_rank", "select author_name, count(distinct sha) commit_count from commits where sha is not null and author_name is not null group by 1 order by 2 desc, 1")
 def contributor_rank(spark, folder):
     return docs.contributor_rank(recovery.people(table(spark, folder, "commits")))

@@ -200,6 +200,18 @@ def test_blocked_pairs_of_any_length(spark):
         assert {tuple(sorted((r["left_id"], r["right_id"]))) for r in identity.blocked_pairs(o, largest=largest).collect()} == want
 
 
+def test_inventory_operators(spark):
+    n = spark.createDataFrame([("a", "gold.sites"), ("b", "dim_site_orders_by_day")], "id string, name string")
+    t = spark.createDataFrame([("1", "lib/plausible/site"), ("2", "Orders of a site"), ("3", "nothing")], "id string, text string")
+    assert rows(identity.free_text_matches(n, t)) == [("a", "1", 1.0), ("a", "2", 1.0), ("b", "2", 0.5)]
+    pairs = spark.createDataFrame([("a", "b", "x", "x", 1.0), ("c", "d", "y", "yy", 0.91), ("c", "e", "y", "y", 1.0)], "left_id string, right_id string, left_name string, right_name string, score double")
+    assert rows(identity.review_links(pairs, identity.merge_groups(pairs))) == [("c", "d", "SameAs", "unconfirmed", 1.0), ("c", "e", "SameAs", "unconfirmed", 1.0)]
+    items = spark.createDataFrame([("7", ["x", "y", "x", None]), ("8", None)], "id string, files_changed array<string>")
+    assert rows(recovery.file_references(items)) == [("7", "x", "References"), ("7", "y", "References")]
+    parts = recovery.document_parts(spark.createDataFrame([(1, "a" * 2000 + "\n" + "b" * 2000)], "doc_id bigint, text string"))
+    assert [(r["to_id"], len(r["excerpt"])) for r in parts.orderBy("to_id").collect()] == [("1#section-1", 1200), ("1#section-2", 1200)]
+
+
 def test_cross_system_pairs(spark):
     """All pairs by brute force, whatever their first letters, over current objects and in small blocks."""
     rng = random.Random(5)
