@@ -119,6 +119,28 @@ def test_hierarchy_brute_force(spark, bucket):
             assert all(up[b] == a for a, b in zip(paths[n], paths[n][1:]))
 
 
+@pytest.mark.parametrize("bucket", [10_000, 150, 30])
+def test_cycles_over_several_buckets(spark, bucket):
+    rng = random.Random(bucket)
+    ids = [uid(n) for n in rng.sample(range(1_000_000), 1_000)]
+    pairs, at = [], 0
+    for n in (1, 2, 3, 17, 120):
+        ring = ids[at : at + n]
+        at += n
+        pairs += [(ring[i], ring[(i + 1) % n]) for i in range(n)]
+        for _ in range(3):  # tails of several lengths below the cycle, with ids smaller and larger than its own
+            tail = [rng.choice(ring), *ids[at : at + 12]]
+            at += 12
+            pairs += list(zip(tail, tail[1:]))
+    chain = ids[at : at + 100]
+    pairs += list(zip(chain, chain[1:]))
+    rng.shuffle(pairs)
+    want = _brute(pairs)
+    found = hierarchy.hierarchy(_links(spark, pairs), bucket == 150, bucket).collect()
+    assert {r["node_id"]: (r["root_id"], r["depth"]) for r in found} == want
+    assert bucket != 150 or all((r["path"] is None) == (r["depth"] < 0) for r in found)
+
+
 def test_hierarchy_edges(spark):
     assert rows(hierarchy.hierarchy(_links(spark, []))) == []
     df = spark.createDataFrame([(uid(1), "CONTAINS", None, uid(2), T0, "", ""), (uid(2), "contains", "{" + uid(3) + "}", uid(4).replace("-", ""), T0, "", ""), (uid(3), "Calls", uid(5), uid(6), T0, "", "")], REL)
