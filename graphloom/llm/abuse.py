@@ -37,6 +37,8 @@ POSITIVE_WEIGHT = 4.0
 SHORT = 9
 CACHE_PASSAGES = 100_000
 CACHE_WORDS = 200_000
+#: Documents of a batch whose passages are scored in one step.
+SCORED_TOGETHER = 500
 THRESHOLD = 0.3
 #: Severity of the categories reviewers name; abusive without a known category counts as the first grade.
 GRADES = {"insult": 1, "sexual": 2, "hate": 3}
@@ -51,8 +53,11 @@ _DOTTED = re.compile(r"(?:[^\W\d_][.\-·]){2,}[^\W\d_]\W*")
 _PIECES = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _CJK = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
 _REPEAT = re.compile(r"(.)\1+")
+_EMPHASIS = re.compile(r"[_~*]*([^\W_]+(?:/[^\W\d_]+)*)[_~]*")
 _EDGES = ".,;:?!()[]{}<>\"'’“”…|#>*"
 _FORMS: dict[str, tuple[str, ...]] = {}
+_INNER: dict[str, tuple[str, ...]] = {}
+IDENTIFIER = ("idf",)
 _CODES: dict[str, int] = {}
 MASK = (1 << BITS) - 1
 
@@ -84,8 +89,13 @@ def _read(token: str) -> tuple[str, ...]:
     bare = token.strip(_EDGES)
     if not bare:
         return ()
+    if "_" in bare or "~" in bare:
+        marked = _EMPHASIS.fullmatch(bare)  # _word_ and ~~word~~ are marked words, a_b is an identifier
+        bare = marked.group(1) if marked else bare
+    if "/" in bare and len(bare) <= 40 and all(word.isalpha() for word in bare.split("/")):
+        return tuple(w for word in bare.split("/") for w in forms(word))
     if len(bare) > 40 or "_" in bare or "`" in bare or "::" in bare or "/" in bare or "@" in bare[1:-1] and "." in bare:
-        return ("idf",)
+        return IDENTIFIER
     if "*" in bare:
         return ("*w*",)
     if _DOTTED.fullmatch(bare):
@@ -103,30 +113,51 @@ def _read(token: str) -> tuple[str, ...]:
     return tuple(_REPEAT.sub(r"\1", w.replace("'", "").replace("’", "")) for w in _PIECES.findall(bare))
 
 
-def passages(text: str) -> list[tuple[str, ...]]:
-    """The word forms of each passage, those of fewer than two words left out."""
-    out = []
-    for part in _BREAK.split(plain(text)):
-        if not part:
+def inner(token: str) -> tuple[str, ...]:
+    """The words within an identifier, path or other long token."""
+    known = _INNER.get(token)
+    if known is None:
+        known = tuple(w for piece in re.findall(r"[^\W\d_]{2,}", token) for w in ((piece,) if len(piece) > 40 else forms(piece)))
+        if len(_INNER) > CACHE_WORDS:
+            _INNER.clear()
+        if len(token) < 80:
+            _INNER[token] = known
+    return known
+
+
+def words_of(part: str) -> list[tuple[str, ...]]:
+    """The word forms of a passage, and of each identifier in it as a passage of its own."""
+    out: list[tuple[str, ...]] = []
+    words: list[str] = []
+    single = ""
+    for token in part.split():
+        bare = token.strip(_EDGES) or token
+        if len(bare) == 1 and (bare.isalpha() or bare in "$@013457") and not _CJK.match(bare):
+            single += bare
             continue
-        words: list[str] = []
-        single = ""
-        for token in part.split():
-            bare = token.strip(_EDGES) or token
-            if len(bare) == 1 and (bare.isalpha() or bare in "$@013457") and not _CJK.match(bare):
-                single += bare
-                continue
-            if single:
-                words += forms(single) if len(single) > 2 else list(single)
-                single = ""
-            words += forms(token)
         if single:
             words += forms(single) if len(single) > 2 else list(single)
-        if len(words) > 1:
-            out.append(tuple(words))
+            single = ""
+        read = forms(token)
+        words += read
+        if read == IDENTIFIER and (held := inner(token)):
+            out.append(held)
+    if single:
+        words += forms(single) if len(single) > 2 else list(single)
+    if words:
+        out.insert(0, tuple(words))
     return out
 
 
+def parts(text: str) -> list[str]:
+    return [p for p in _BREAK.split(plain(text)) if p]
+
+
+def passages(text: str) -> list[tuple[str, ...]]:
+    """The word forms of each passage of a text."""
+    return [words for part in parts(text) for words in words_of(part)]
+
+
 def windows(words: tuple[str, ...], size: int = 14) -> list[tuple[str, ...]]:
     """Long passages in overlapping windows, so that what stands anywhere in them counts alike."""
     if len(words) <= size + 4:
@@ -134,21 +165,27 @@ def windows(words: tuple[str, ...], size: int = 14) -> list[tuple[str, ...]]:
     return [words[i : i + size] for i in range(0, len(words) - size // 2, size // 2)]
 
 
-def features(words: tuple[str, ...]) -> np.ndarray:
-    """Hashed words, pairs and triples of words, each once."""
-    codes = []
-    for w in words:
-        c = _CODES.get(w)
-        if c is None:
-            if len(_CODES) > CACHE_WORDS:
-                _CODES.clear()
-            c = _CODES[w] = zlib.crc32(w.encode("utf-8", "surrogatepass"))
-        codes.append(c)
-    one = np.array(codes, np.uint64)
+def features_of(passages_: list[tuple[str, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, code): the hashed words, pairs and triples of words of each of many passages, each once a passage, in order of owners."""
+    if len(_CODES) > CACHE_WORDS:
+        _CODES.clear()
+    flat = [w for words in passages_ for w in words]
+    for w in set(flat).difference(_CODES):
+        _CODES[w] = zlib.crc32(w.encode("utf-8", "surrogatepass"))
+    one = np.array([_CODES[w] for w in flat], np.uint64)
+    owner = np.repeat(np.arange(len(passages_)), [len(words) for words in passages_])
     two = one[:-1] * np.uint64(1_000_003) + one[1:]
     three = two[:-1] * np.uint64(1_000_003) + one[2:]
-    every = np.concatenate([one, two, three])
-    return np.unique((every ^ (every >> np.uint64(17))) & np.uint64(MASK)).astype(np.int32)
+    in_two, in_three = owner[:-1] == owner[1:], owner[:-2] == owner[2:]
+    every = np.concatenate([one, two[in_two], three[in_three]])
+    code = (every ^ (every >> np.uint64(17))) & np.uint64(MASK)
+    key = np.unique(np.concatenate([owner, owner[:-1][in_two], owner[:-2][in_three]]).astype(np.int64) << BITS | code.astype(np.int64))
+    return key >> BITS, (key & MASK).astype(np.int32)
+
+
+def features(words: tuple[str, ...]) -> np.ndarray:
+    """Hashed words, pairs and triples of words, each once."""
+    return features_of([words])[1]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -174,6 +211,16 @@ class Ordinal:
         sums = np.add.reduceat(self.weights[flat], np.concatenate([[0], np.cumsum(lengths)[:-1]]))
         return sums / np.sqrt(np.maximum(lengths, SHORT))
 
+    def scores_of(self, passages_: list[tuple[str, ...]]) -> np.ndarray:
+        """The score of each passage's worst window."""
+        if not passages_:
+            return np.empty(0)
+        cut_up = [windows(words) for words in passages_]
+        owner, code = features_of([w for ws in cut_up for w in ws])
+        n = sum(map(len, cut_up))
+        score = np.bincount(owner, self.weights[code], n) / np.sqrt(np.maximum(np.bincount(owner, minlength=n), SHORT))
+        return np.maximum.reduceat(score, np.concatenate([[0], np.cumsum([len(ws) for ws in cut_up])[:-1]]))
+
     def fit(self, rows: list[np.ndarray], grades: np.ndarray, importance: np.ndarray, steps: int = STEPS, rate: float = 0.5, ridge: float = 2e-4) -> None:
         """Maximises the cumulative-link likelihood by AdaGrad over all rows."""
         lengths = np.array([len(r) for r in rows])
@@ -211,11 +258,11 @@ def fit(texts: list[str], grades: list[int], rounds: int = ROUNDS) -> Ordinal:
         mine = set()
         for words in passages(t):
             for w in windows(words):
-                if w not in known:
-                    known[w] = len(rows)
-                    rows.append(features(w))
-                mine.add(known[w])
+                mine.add(known.setdefault(w, len(known)))
         docs.append(np.array(sorted(mine), np.int64))
+    if known:
+        owner, code = features_of(list(known))
+        rows = np.split(code, np.flatnonzero(np.diff(owner)) + 1)
     grade = np.array(grades, np.int64)
     positive = [i for i in range(len(docs)) if grade[i] > 0 and len(docs[i])]
     negative = [i for i in range(len(docs)) if grade[i] == 0 and len(docs[i])]
@@ -300,10 +347,7 @@ def labels(documents: DataFrame, reviews: DataFrame, most: int = FIT_DOCUMENTS)
     opinions = reviews.where("doc_id is not null and abusive is not null").select("doc_id", F.when(F.col("abusive"), grade).otherwise(0).alias("g"))
     per = opinions.groupBy("doc_id").agg(F.avg((F.col("g") > 0).cast("int")).alias("share"), F.avg(F.when(F.col("g") > 0, F.col("g"))).alias("g"))
     per = per.select("doc_id", F.when(F.col("share") > 0.5, F.round("g")).otherwise(0).cast("int").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return documents.where("text is not null").select("doc_id", "text").join(per, "doc_id").dropDuplicates(["doc_id"])
-
-
-_MODELS: dict[str, Ordinal] = {}
+    return documents.where("text is not null").groupBy("doc_id").agg(F.min("text").alias("text")).join(per, "doc_id")
 
 
 def fitted(documents: DataFrame, reviews: DataFrame, most: int = FIT_DOCUMENTS) -> bytes:
@@ -333,21 +377,23 @@ def scores(documents: DataFrame, reviews: DataFrame, most: int = FIT_DOCUMENTS)
     def score(texts: pd.Series) -> pd.DataFrame:
         blob = shared.value
         model = Ordinal(np.frombuffer(blob[8 * TOP :], np.float16).astype(np.float32), np.frombuffer(blob[: 8 * TOP], np.float64))
-        cache: dict[tuple, float] = {}
-        out = []
-        for t in texts:
-            best = -np.inf
-            if isinstance(t, str) and t:
-                for words in passages(t):
-                    s = cache.get(words)
-                    if s is None:
-                        s = float(model.scores([features(w) for w in windows(words)]).max())
-                        if len(cache) < CACHE_PASSAGES and len(words) < 40:
-                            cache[words] = s
-                    best = max(best, s)
-            levels = model.levels(np.array([best])) if best > -np.inf else np.zeros((1, TOP))
-            out.append((float(levels.sum()), float(levels[0, 0])))
-        return pd.DataFrame(out, columns=["severity", "p_abusive"])
+        kept: dict[str, float] = {}
+        best = np.full(len(texts), -np.inf)
+        for at in range(0, len(texts), SCORED_TOGETHER):
+            cut_up = [parts(t) if isinstance(t, str) and t else [] for t in texts.iloc[at : at + SCORED_TOGETHER]]
+            new = [p for p in {p for ps in cut_up for p in ps} if p not in kept]
+            read = [words_of(p) for p in new]
+            flat = model.scores_of([words for r in read for words in r])
+            score, start = {}, 0
+            for p, r in zip(new, read):
+                score[p] = float(flat[start : start + len(r)].max()) if r else -np.inf
+                start += len(r)
+            for i, ps in enumerate(cut_up):
+                best[at + i] = max((score[p] if p in score else kept[p] for p in ps), default=-np.inf)
+            if len(kept) < CACHE_PASSAGES:
+                kept |= {p: s for p, s in score.items() if len(p) < 300}
+        levels = np.where(best[:, None] > -np.inf, model.levels(np.maximum(best, -1e9)), 0.0)
+        return pd.DataFrame({"severity": levels.sum(axis=1), "p_abusive": levels[:, 0]})
 
     source = F.regexp_replace(F.lower(F.trim("source")), r"[\s-]+", "_").alias("source")
     return spread(documents.select("doc_id", source, "text")).select("doc_id", "source", score("text").alias("s")).select("doc_id", "source", F.round("s.severity", 6).alias("severity"), F.round("s.p_abusive", 6).alias("p_abusive"))

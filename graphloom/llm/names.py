@@ -337,9 +337,12 @@ def middle_of(local: str) -> str:
 def verify_addresses(a: tuple, b: tuple) -> float:
     """How sure two addresses (local, domain, given, surname) are one person's; 0 if not enough.
 
-    The locals must be one spelling, or one of them must spell the name out, or the domains must be one; the names must agree by Monge-Elkan.
+    The locals must be one spelling, or one of them must spell the name out, or the domains must be one; the names must agree by Monge-Elkan, those an
+    address spells out standing in for a missing name.
     """
     (la, da, ga, sa), (lb, db, gb, sb) = a, b
+    ga, sa = (ga, sa) if ga or sa else local_names(la) or (ga, sa)
+    gb, sb = (gb, sb) if gb or sb else local_names(lb) or (gb, sb)
     if not same_given(ga, gb) or (middle_of(la) and middle_of(lb) and middle_of(la) != middle_of(lb)):
         return 0.0
     d = edits(la, lb, 2)
@@ -404,7 +407,7 @@ def links(rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
         .select("node", "local", "domain", F.col("m.given").alias("given"), F.col("m.surname").alias("surname"), "n")
     )
     loose = rows.where("kind = 'loose' and surname <> ''").select("node", F.split("node", ":")[1].alias("how"), "local", "domain", "given", "surname", "middle").distinct()
-    orgs = rows.where("kind = 'org'").groupBy("node").agg(F.count(F.lit(1)).alias("n")).withColumn("text", F.substring("node", 5, 1000))
+    orgs = rows.where("kind = 'org'").groupBy("node").agg(F.count(F.lit(1)).alias("n")).withColumn("text", F.expr("substring(node, 5)"))
 
     # keys that identify alone: the node of an address is its key
     keyed = rows.where("size(keys) > 0").select("node", F.explode("keys").alias("key")).distinct()
@@ -448,7 +451,7 @@ def links(rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
     spellings = (
         view(persons.select(F.col("node").alias("id"), F.col("domain").alias("block"), F.col("local").alias("text")), "local", yes, yes)
         .unionByName(view(surnames(loose), "surname", yes, no)).unionByName(view(surnames(has), "surname", no, yes))
-        .unionByName(view(full_names(persons).unionByName(full_names(loose)).distinct().select(F.lit("").alias("block"), F.col("text").alias("id"), "text"), "name", yes, yes))
+        .unionByName(view(full_names(persons).unionByName(full_names(loose)).unionByName(by_name.select("text").where("text like '% %'")).distinct().select(F.lit("").alias("block"), F.col("text").alias("id"), "text"), "name", yes, yes))
         .unionByName(view(orgs.select(F.col("node").alias("id"), F.substring("text", 1, 1).alias("block"), "text"), "org", yes, yes))
     )
     near = similar_spellings(spellings, bucket=bucket)
@@ -503,7 +506,7 @@ def links(rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
         return pd.Series([monge_elkan([x], [y]) if edits(x, y, 3) <= 2 else 0.0 for x, y in zip(a, b)], dtype="float64")
 
     one_org = near.where("view = 'org' and left < right").select("left", "right")
-    one_org = one_org.where(alike(F.substring("left", 5, 1000), F.substring("right", 5, 1000)) >= 0.93).select(F.col("left").alias("u"), F.col("right").alias("v"))
+    one_org = one_org.where(alike(F.expr("substring(left, 5)"), F.expr("substring(right, 5)")) >= 0.93).select(F.col("left").alias("u"), F.col("right").alias("v"))
     return direct.unionByName(people).unionByName(best_person).unionByName(together).unionByName(one_org).where("u <> v").distinct()
 
 

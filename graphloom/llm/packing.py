@@ -2,11 +2,12 @@
 
 A grouping genetic algorithm works on blocks of documents. A solution is a list of containers; crossover injects well-filled containers of one
 parent into the other, drops the containers that hold a document twice and puts the displaced documents where they fit best.
-Each block is evolved on several islands; their elites migrate to the next island and are evolved again with the natives, and the best
-island's solution stands. Containers that are nearly full are final; the documents of the others form the blocks of the next level.
+Each block is evolved on several islands; their elites migrate to the next island and are evolved again with the natives, MIGRATIONS times, and
+the best island's solution stands. Containers that are nearly full are final; the documents of the others form the blocks of the next level. A level
+that fills little makes the fuller half of each block's containers final, so that every level leaves at most half of the tokens of the one before.
 
-Scale: a block holds about BLOCK documents however large the corpus is, and each level passes on only what did not fill; sizes, not texts, are
-shuffled.
+Scale: a block holds about BLOCK documents however large the corpus is and whatever fills; sizes, not texts, are shuffled. What is packed where
+depends on ids, sizes and the seed alone, not on partitions.
 """
 
 from __future__ import annotations
@@ -24,11 +25,15 @@ from graphloom.session import cut, spread
 CAPACITY = 2048
 BLOCK = 2000
 ISLANDS = 2
+MIGRATIONS = 2
 POPULATION = 6
-GENERATIONS = 12
+GENERATIONS = 10
 #: Containers at least this full are final before the last level.
 FULL = 0.998
-MOST_LEVELS = 12
+#: A level that leaves more than this share of its tokens fills little.
+STALLED = 0.5
+#: A block has tokens for at least so many containers.
+LEAST_CONTAINERS = 16
 
 
 def best_fit(sizes: list[int], items: list[int], bins: list[list[int]], fill: list[int], capacity: int) -> None:
@@ -76,27 +81,34 @@ def cross(a: list[list[int]], b: list[list[int]], sizes: list[int], capacity: in
 
 
 def evolve(sizes: list[int], capacity: int, rng: random.Random, elites: list[list[list[int]]] = (), population: int = POPULATION, generations: int = GENERATIONS) -> list[list[int]]:
-    """The best solution found; stops early at the fewest containers there can be."""
+    """The best solution found; the population begins with noisy best-fit solutions, and stops early where nothing could be better.
+
+    Nothing could be better than the fewest containers there can be, all but one of them nearly full.
+    """
     least = math.ceil(sum(sizes) / capacity)
-    rank = lambda s: (len(s), -fitness([sum(sizes[i] for i in x) for x in s], capacity))
-    pool = [list(e) for e in elites]
+
+    def judged(s: list[list[int]]) -> tuple:
+        fill = [sum(sizes[i] for i in x) for x in s]
+        return len(s), -fitness(fill, capacity), sum(f < FULL * capacity for f in fill), s
+
+    rank = lambda j: j[:2]
+    ideal = lambda j: j[0] <= least and j[2] <= 1
+    pool = [judged([list(b) for b in e]) for e in elites]
     order = list(range(len(sizes)))
-    while len(pool) < population:
+    while len(pool) < population and not any(map(ideal, pool)):
         noise = 0.0 if len(pool) == len(elites) else 0.3
         keyed = {i: sizes[i] * (1 + noise * (rng.random() - 0.5)) for i in order}
         bins: list[list[int]] = []
         best_fit(sizes, sorted(order, key=lambda i: (-keyed[i], i)), bins, [], capacity)
-        pool.append(bins)
-        if len(bins) <= least:
-            return bins
+        pool.append(judged(bins))
     pool.sort(key=rank)
     for _ in range(generations):
-        if len(pool[0]) <= least:
+        if ideal(pool[0]) or len(pool) < 2:
             break
         a, b = rng.sample(pool[: max(2, population // 2)], 2)
-        child, other = cross(a, b, sizes, capacity, rng), cross(b, a, sizes, capacity, rng)
-        pool = sorted([*pool, child, other], key=rank)[:population]
-    return pool[0]
+        children = [judged(cross(x[3], y[3], sizes, capacity, rng)) for x, y in ((a, b), (b, a))]
+        pool = sorted([*pool, *children], key=rank)[:population]
+    return pool[0][3]
 
 
 _SOLVED = "block int, island int, piece_id bigint, doc_id bigint, piece int, start bigint, n_tokens int, bin int"
@@ -106,7 +118,7 @@ def _evolved(capacity: int, seed: int):
     """One island of one block: evolves from the solutions in the bin columns of its natives and migrants, if there are any."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("piece_id")
+        pdf = pdf.sort_values("piece_id", kind="stable")
         own = pdf[pdf["origin"] == 0].reset_index(drop=True)
         sizes = own["n_tokens"].tolist()
         block, island = int(own["block"].iloc[0]), int(own["island"].iloc[0])
@@ -125,44 +137,52 @@ def _evolved(capacity: int, seed: int):
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, islands: int = ISLANDS, seed: int = 7) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, islands: int = ISLANDS, seed: int = 7, migrations: int = MIGRATIONS) -> DataFrame:
     """(container_id, piece_id, doc_id, piece, start, n_tokens) of pieces (piece_id, doc_id, piece, start, n_tokens), each of 1 to capacity tokens."""
     columns = ["piece_id", "doc_id", "piece", "start", "n_tokens"]
-    rest, done, n = cut(pieces.select(*columns)), None, None
-    for level in range(MOST_LEVELS):
-        before, n = n, rest.count()
-        if not n and done is not None:
-            break
-        if before is not None and n > 0.9 * before:
-            block *= 2  # what does not fill in small blocks is tried in larger ones
-        blocks = max(1, math.ceil(n / block))
+    size = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t")).collect()[0]
+    rest, done, level = cut(pieces.select(*columns)), None, 0
+    n, tokens = size(rest)
+    while n or done is None:
+        blocks = max(1, min(math.ceil(n / block), tokens // (LEAST_CONTAINERS * capacity)))
         placed = rest.withColumn("block", F.pmod(F.xxhash64("piece_id", F.lit(level)), F.lit(blocks)).cast("int"))
         on = placed.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1)))).withColumn("bin", F.lit(-1)).withColumn("origin", F.lit(0))
         first = cut(on.groupBy("block", "island").applyInPandas(_evolved(capacity, seed), _SOLVED))
-        natives = first.withColumn("origin", F.lit(0))
-        migrants = first.withColumn("island", F.pmod(F.col("island") + 1, F.lit(islands))).withColumn("origin", F.lit(1))
-        second = cut(natives.unionByName(migrants).groupBy("block", "island").applyInPandas(_evolved(capacity, seed), _SOLVED))
-        fill = second.groupBy("block", "island", "bin").agg(F.sum("n_tokens").alias("filled"))
+        for turn in range(migrations):
+            natives = first.withColumn("origin", F.lit(0))
+            migrants = first.withColumn("island", F.pmod(F.col("island") + 1, F.lit(islands))).withColumn("origin", F.lit(1))
+            first = cut(natives.unionByName(migrants).groupBy("block", "island").applyInPandas(_evolved(capacity, seed + turn + 1), _SOLVED))
+        fill = first.groupBy("block", "island", "bin").agg(F.sum("n_tokens").alias("filled"))
         judged = fill.groupBy("block", "island").agg(F.count(F.lit(1)).alias("bins"), F.sum((F.col("filled") / capacity) ** 2).alias("squares"))
         winner = judged.groupBy("block").agg(F.max_by("island", F.struct(-F.col("bins"), "squares", -F.col("island"))).alias("island"))
-        last = blocks == 1 or level == MOST_LEVELS - 1
-        best = cut(second.join(winner, ["block", "island"]).join(fill, ["block", "island", "bin"]))
-        final = best if last else best.where(F.col("filled") >= FULL * capacity)
-        number = F.lit(level).cast("bigint") * (1 << 56) + F.col("block").cast("bigint") * (1 << 20) + F.col("bin")
+        last = blocks == 1
+        best = cut(first.join(winner, ["block", "island"]).join(fill, ["block", "island", "bin"]))
+        full = F.lit(True) if last else F.col("filled") >= FULL * capacity
+        if not last and size(best.where(~full))["t"] > STALLED * tokens:
+            middle = fill.join(winner, ["block", "island"]).groupBy("block").agg(F.percentile("filled", 0.5).alias("middle"))
+            best = best.join(middle, "block")
+            full = F.col("filled") >= F.col("middle")
+        final = best.where(full)
+        number = F.lit(level).cast("bigint") * (1 << 52) + F.col("block").cast("bigint") * (1 << 20) + F.col("bin")
         final = final.select(number.alias("container_id"), *columns)
         done = final if done is None else done.unionByName(final)
         if last:
             break
-        rest = cut(best.where(F.col("filled") < FULL * capacity).select(*columns))
+        rest = cut(best.where(~full).select(*columns))
+        (n, tokens), level = size(rest), level + 1
     return done
 
 
 def pieces_of(documents: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
-    """(piece_id, doc_id, piece, start, n_tokens): a document of at most capacity tokens is one piece, a longer one is cut into full pieces and a rest."""
+    """(piece_id, doc_id, piece, start, n_tokens): a document of at most capacity tokens is one piece, a longer one is cut into full pieces and a rest.
+
+    piece_id is a hash of the piece and of which of several equal rows it is, so that it does not depend on partitions.
+    """
     n = spread(documents.select("doc_id", "text")).select("doc_id", token_count(F.col("text"), path).alias("n"))
     starts = F.when(F.col("n") <= 0, F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), (F.col("n") - 1).cast("bigint"), F.lit(capacity).cast("bigint")))
-    rows = n.select("doc_id", "n", F.posexplode(starts).alias("piece", "start"))
-    return rows.select(F.monotonically_increasing_id().alias("piece_id"), "doc_id", "piece", "start", F.least(F.col("n") - F.col("start"), F.lit(capacity)).cast("int").alias("n_tokens"))
+    same = n.groupBy("doc_id", "n").agg(F.count(F.lit(1)).alias("k")).select("doc_id", "n", F.explode(F.sequence(F.lit(1), F.col("k").cast("int"))).alias("copy"))
+    rows = same.select("doc_id", "n", "copy", F.posexplode(starts).alias("piece", "start"))
+    return rows.select(F.xxhash64("doc_id", "n", "copy", "piece").alias("piece_id"), "doc_id", "piece", "start", F.least(F.col("n") - F.col("start"), F.lit(capacity)).cast("int").alias("n_tokens"))
 
 
 def containers(documents: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, islands: int = ISLANDS, path: str | None = None) -> DataFrame:
@@ -175,7 +195,7 @@ def containers(documents: DataFrame, capacity: int = CAPACITY, block: int = BLOC
     whole = pieces.where(F.col("n_tokens") == capacity)
     none = pieces.where("n_tokens = 0").select(F.lit(-1).cast("bigint").alias("container_id"), "doc_id", "piece", "start", "n_tokens")
     # containers of packed pieces are below 2^60, those of full pieces above
-    alone = whole.select((F.lit(1 << 60) + F.col("piece_id")).alias("container_id"), "doc_id", "piece", "start", "n_tokens")
+    alone = whole.select((F.lit(1 << 60) + F.xxhash64("piece_id", F.lit("alone")).bitwiseAND(F.lit((1 << 60) - 1))).alias("container_id"), "doc_id", "piece", "start", "n_tokens")
     packed = pack(pieces.where((F.col("n_tokens") > 0) & (F.col("n_tokens") < capacity)), capacity, block, islands)
     return packed.select("container_id", "doc_id", "piece", "start", "n_tokens").unionByName(alone).unionByName(none)
 

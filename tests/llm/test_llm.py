@@ -76,6 +76,18 @@ def test_misspelled_names_meet(spark):
     assert got == [[0, 1], [2, 3], [4]]
 
 
+def test_misspelled_local_parts_of_other_domains(spark):
+    for name in (None, "Kathrin Braunschweig"):
+        got = _classes(names.entities(_people(spark, [(name, "kathrin.braunschweig@alpha.test"), (None, "kathrin.braunschwieg@beta.test"), ("Otto Tal", None)])))
+        assert got == [[0, 1], [2]], name
+
+
+def test_common_local_part_hides_no_link(spark):
+    pair = [("Kathrin Braun", "kbraun@beta.test"), ("Kathrin Brauhn", "kbraun@gamma.test")]
+    for more in ([], [("Peter Lang", "kbraun@alpha.test")] * 2):
+        assert [0, 1] in _classes(names.entities(_people(spark, pair + more)))
+
+
 def test_collision_curve():
     for s in (0.4, 0.5, 0.7):
         b = names.bands_for(s, 0.95, 3)
@@ -299,6 +311,36 @@ def test_pack_in_small_blocks(spark):
     assert u["fullest"] <= 100 and u["n_containers"] <= least * 1.04, (u, least)
 
 
+@pytest.mark.parametrize("size", [1, 51, 34])
+def test_pack_what_never_fills(spark, size):
+    pieces = spark.createDataFrame([(i, i, 0, 0, size) for i in range(5000)], "piece_id bigint, doc_id bigint, piece int, start bigint, n_tokens int")
+    got = packing.pack(pieces, 100, block=40)
+    u = packing.usage(got, 100).collect()[0]
+    assert got.count() == 5000 and u["fullest"] <= 100 and u["n_containers"] <= -(-5000 // (100 // size)) * 1.02 + 1
+
+
+def test_genetic_steps_run_and_help():
+    rng = random.Random(14)
+    better = 0
+    for trial in range(6):  # three to a container: best fit alone leaves room
+        sizes = []
+        for _ in range(40):
+            a, b = rng.randrange(200, 420), rng.randrange(200, 420)
+            sizes += [a, b, 1000 - a - b]
+        start: list = []
+        packing.best_fit(sizes, sorted(range(len(sizes)), key=lambda i: -sizes[i]), start, [], 1000)
+        bins = packing.evolve(sizes, 1000, random.Random(trial), generations=60)
+        full = lambda x: packing.fitness([sum(sizes[i] for i in b) for b in x], 1000)
+        assert sorted(i for b in bins for i in b) == list(range(len(sizes))) and len(bins) <= len(start)
+        better += full(bins) > full(start)
+    assert better >= 4
+
+
+def test_packing_does_not_depend_on_partitions(spark):
+    docs = spark.createDataFrame([(i, "word " * (i * 37 % 900)) for i in range(150)] + [(3, "word " * 111)] * 2, "doc_id bigint, text string")
+    assert rows(packing.containers(docs.repartition(7))) == rows(packing.containers(docs.coalesce(1).orderBy("text")))
+
+
 def test_containers(spark, encoder):
     long = "word " * 5000
     docs = [(1, "short text"), (2, None), (3, ""), (4, long), (4, long), (5, "x"), (6, "ab " * 1000)]
@@ -366,6 +408,16 @@ def test_abuse_edges(spark):
     assert abuse.found(docs, reviews.limit(0)).count() == 0 and abuse.found(docs.limit(0), reviews).count() == 0
 
 
+def test_words_within_tokens_count():
+    assert abuse.passages("you stupid/ugly idiot") == [("you", "stupid", "ugly", "idiot")]
+    assert abuse.passages("_Idiot_!") == abuse.passages("~~idiot~~") == abuse.passages("Idiot") == [("idiot",)]
+    assert abuse.passages("so you_stupid_idiot now") == [("so", "idf", "now"), ("you", "stupid", "idiot")]
+    assert abuse.passages("x" * 60) == [("idf",), ("x" * 60,)]
+    w = ("you", "stupid", "zibble")
+    owner, code = abuse.features_of([w, ("a",), w])
+    assert [code[owner == i].tolist() for i in range(3)] == [abuse.features(w).tolist(), abuse.features(("a",)).tolist(), abuse.features(w).tolist()] and len(code) == 13
+
+
 def test_long_passage_counts_anywhere():
     model = abuse.fit(*zip(*[(t, y) for t, _, y in _texts(800, 3)]))
     text = " ".join(["then the cache reads rows and writes them"] * 40) + " go away with your cache you pathetic zibble " + " ".join(["and reads again"] * 60)
