@@ -1,15 +1,15 @@
 """Schemas that drift between files (problem 5).
 
 The header of each body (its top-level fields with type and content) is read in parallel. Headers fold through a type-promotion
-lattice into the union schema all files are cast to. Differences are logged in the order of each feed: a chunk of a feed (its batches of
-one month) needs only the header before it and the last type of each field, which are folded over the chunks' summaries.
+lattice into the union schema all files are cast to. Differences are logged in the order of each feed: a chunk of a feed (its batches in one
+range partition of all headers) needs only the header before it and the last and next value of each field, which are folded over the chunks' summaries.
 
-Scale: no task holds more than one chunk of one feed, or one summary a chunk; a feed with a third of all files is cut by month.
+Scale: no task holds more than one chunk of one feed, or one summary a chunk; ranges are cut by size, so a feed with a third of all files has as many
+chunks as its share asks for, whatever its batch ids look like. Results do not depend on where the chunks end.
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
 
@@ -18,10 +18,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from graphloom.session import cut
 
-_HEADER = "feed string, chunk string, batch_id string, fields array<struct<field:string,type:string,content:string>>"
-LONG = 200
+_HEADER = "feed string, batch_id string, fields array<struct<field:string,type:string,content:string>>"
 #: The JSON types and the column type each is read as; types that meet otherwise are read as JSON text.
 LATTICE = {"null": "void", "boolean": "boolean", "number": "double", "string": "string", "array": "json", "object": "json"}
+#: The fields that get a column of their own; the values of rarer ones share a map.
 MOST_COLUMNS = 1000
 
 
@@ -49,13 +49,11 @@ def read_body(body: str | None) -> dict | None:
 
 
 def header(fields: dict) -> list[tuple[str, str, str | None]]:
-    """(field, type, content) in the order of names; the content of long values is a digest."""
+    """(field, type, content) in the order of names."""
     out = []
     for name in sorted(fields):
         value = fields[name]
         text = None if value is None else value if isinstance(value, str) else json.dumps(value, sort_keys=True)
-        if text is not None and len(text) > LONG:
-            text = hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
         out.append((name, json_type(value), text))
     return out
 
@@ -77,11 +75,11 @@ def headers(manifests: DataFrame) -> DataFrame:
             out = []
             for feed, batch, body in zip(pdf["feed"], pdf["batch_id"], pdf["body"]):
                 if (fields := read_body(body)) is not None:
-                    out.append((feed, batch[:6], batch, [dict(zip(("field", "type", "content"), f)) for f in header(fields)]))
-            yield pd.DataFrame(out, columns=["feed", "chunk", "batch_id", "fields"])
+                    out.append((feed, batch, [dict(zip(("field", "type", "content"), f)) for f in header(fields)]))
+            yield pd.DataFrame(out, columns=["feed", "batch_id", "fields"])
 
     rows = manifests.select("feed", "batch_id", "body").where("feed is not null and batch_id is not null and body is not null").mapInPandas(run, _HEADER)
-    return rows.groupBy("feed", "chunk", "batch_id").agg(F.min("fields").alias("fields"))
+    return rows.groupBy("feed", "batch_id").agg(F.min("fields").alias("fields"))
 
 
 _NUMBER = re.compile(r"-?\d+(?:\.\d+)?")
@@ -151,27 +149,37 @@ def _fields(row) -> dict[str, tuple]:
     return {f["field"]: (f["type"], f["content"]) for f in row}
 
 
-def changes(manifests: DataFrame) -> DataFrame:
+def changes(manifests: DataFrame, partitions: int | None = None) -> DataFrame:
     """(feed, batch_id, field, change_kind): the differences of each readable body to the one before it in its feed.
 
     Unreadable and null bodies, and rows without feed or batch_id, are passed over; equal batch_ids are one. The first body of a feed has no
     changes. An empty table gives no rows; extra columns are ignored.
     """
-    chunks = cut(headers(manifests))
+    by = [F.col("feed"), F.col("batch_id")]
+    ranged = cut(headers(manifests)).repartitionByRange(partitions, *by) if partitions else cut(headers(manifests)).repartitionByRange(*by)
+    chunks = cut(ranged.withColumn("chunk", F.spark_partition_id()))
 
     def summary(pdf: pd.DataFrame) -> pd.DataFrame:
+        first: dict[str, tuple] = {}
         last: dict[str, tuple] = {}
         ordered = pdf.sort_values("batch_id")
         for row in ordered["fields"]:
-            last |= {f: v for f, v in _fields(row).items() if v[0] != "null"}
-        return pd.DataFrame([(pdf["feed"].iloc[0], pdf["chunk"].iloc[0], json.dumps(_fields(ordered["fields"].iloc[-1])), json.dumps(last))], columns=["feed", "chunk", "before", "last"])
+            known = {f: v for f, v in _fields(row).items() if v[0] != "null"}
+            first, last = known | first, last | known
+        shown = (json.dumps(_fields(ordered["fields"].iloc[-1])), json.dumps(last), json.dumps(first))
+        return pd.DataFrame([(pdf["feed"].iloc[0], int(pdf["chunk"].iloc[0]), *shown)], columns=["feed", "chunk", "before", "last", "ahead"])
 
     def carried(pdf: pd.DataFrame) -> pd.DataFrame:
+        ordered = pdf.sort_values("chunk")
+        nexts, ahead = [], {}
+        for first in reversed(ordered["ahead"].tolist()):
+            nexts.append(json.dumps(ahead))
+            ahead = ahead | json.loads(first)
         out, before, last = [], None, {}
-        for row in pdf.sort_values("chunk").itertuples(index=False):
-            out.append((row.feed, row.chunk, before, json.dumps(last)))
+        for row, after in zip(ordered.itertuples(index=False), reversed(nexts)):
+            out.append((row.feed, row.chunk, before, json.dumps(last), after))
             before, last = row.before, last | json.loads(row.last)
-        return pd.DataFrame(out, columns=["feed", "chunk", "before", "last"])
+        return pd.DataFrame(out, columns=["feed", "chunk", "before", "last", "ahead"])
 
     def log(pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -179,7 +187,7 @@ def changes(manifests: DataFrame) -> DataFrame:
         before = {f: tuple(v) for f, v in json.loads(before).items()} if isinstance(before, str) else None
         last = {f: tuple(v) for f, v in json.loads(start["last"].iloc[0]).items()} if len(start) else {}
         rows = [(b, _fields(f)) for b, f in pdf.sort_values("batch_id")[["batch_id", "fields"]].itertuples(index=False)]
-        nexts: list[dict] = [{}]
+        nexts: list[dict] = [{f: tuple(v) for f, v in json.loads(start["ahead"].iloc[0]).items()} if len(start) else {}]
         for _, now in reversed(rows):
             nexts.append(nexts[-1] | {f: v for f, v in now.items() if v[0] != "null"})
         for (batch, now), ahead in zip(rows, reversed(nexts[1:])):
@@ -189,7 +197,7 @@ def changes(manifests: DataFrame) -> DataFrame:
             before = now
         return pd.DataFrame(out, columns=["feed", "batch_id", "field", "change_kind"])
 
-    state = "feed string, chunk string, before string, last string"
+    state = "feed string, chunk int, before string, last string, ahead string"
     starts = chunks.groupBy("feed", "chunk").applyInPandas(summary, state).groupBy("feed").applyInPandas(carried, state)
     return chunks.groupBy("feed", "chunk").cogroup(starts.groupBy("feed", "chunk")).applyInPandas(lambda a, b: log(a, b), "feed string, batch_id string, field string, change_kind string")
 
@@ -207,15 +215,15 @@ def _text(kind: str, c: Column) -> Column:
     return c.cast("boolean") if kind == "boolean" else c.cast("double") if kind == "double" else c
 
 
-def consistent_table(manifests: DataFrame) -> DataFrame:
+def consistent_table(manifests: DataFrame, most: int = MOST_COLUMNS) -> DataFrame:
     """All readable bodies as one table: manifest_id, feed, batch_id and one column a field, named f_<field>, of its promoted type.
 
-    Missing and null values are null; values of fields that hold arrays or objects anywhere are JSON text. Raises beyond MOST_COLUMNS fields.
+    Missing and null values are null; values of fields that hold arrays or objects anywhere are JSON text. Where there are more than most fields, those of
+    most bodies have columns and the JSON texts of all others are in the map rest.
     """
-    known = union_schema(manifests).orderBy("field").limit(MOST_COLUMNS + 1).collect()
-    if len(known) > MOST_COLUMNS:
-        raise ValueError(f"more than {MOST_COLUMNS} fields")
-    kinds = {r["field"]: r["column_type"] for r in known}
+    known = union_schema(manifests).orderBy(F.desc("n_bodies"), "field").limit(most + 1).collect()
+    kinds = {r["field"]: r["column_type"] for r in sorted(known[:most], key=lambda r: r["field"])}
+    more = len(known) > most
 
     def run(batches):
         for pdf in batches:
@@ -224,9 +232,10 @@ def consistent_table(manifests: DataFrame) -> DataFrame:
                 fields = read_body(body)
                 if fields is None:
                     continue
-                row = {f: None if v is None else v if isinstance(v, str) and kinds.get(f) != "json" else json.dumps(v, sort_keys=True) for f, v in fields.items()}
+                row = {f: None if v is None else v if isinstance(v, str) and kinds.get(f, "json") != "json" else json.dumps(v, sort_keys=True) for f, v in fields.items()}
                 out.append((i, feed, batch, row))
             yield pd.DataFrame(out, columns=["manifest_id", "feed", "batch_id", "values"])
 
     rows = manifests.select("manifest_id", "feed", "batch_id", "body").mapInPandas(run, "manifest_id bigint, feed string, batch_id string, values map<string,string>")
-    return rows.select("manifest_id", "feed", "batch_id", *[_text(k, F.col("values")[f]).alias(f"f_{f}") for f, k in kinds.items()])
+    rest = [F.map_filter("values", lambda k, _: ~k.isin(list(kinds))).alias("rest")] * more
+    return rows.select("manifest_id", "feed", "batch_id", *[_text(k, F.col("values")[f]).alias(f"f_{f}") for f, k in kinds.items()], *rest)

@@ -154,12 +154,12 @@ def blocked_pairs(objects: DataFrame, excluded: list[str] = (), largest: int = 1
     return copies.unionByName(ordered)
 
 
-def merge_groups(pairs: DataFrame, most_rounds: int = 30) -> DataFrame:
+def merge_groups(pairs: DataFrame) -> DataFrame:
     """(id, canonical_id, exact): records linked by pairs (left_id, right_id, left_name, right_name) take the smallest id of their group; exact if all names of the group are equal."""
     same = (F.col("left_name") == F.col("right_name")).alias("same")
     both = cut(pairs.select(F.col("left_id").alias("u"), F.col("right_id").alias("v"), same).unionByName(pairs.select(F.col("right_id").alias("u"), F.col("left_id").alias("v"), same)))
     label = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("label")))
-    for _ in range(most_rounds):
+    while True:  # labels only fall, so this ends
         near = both.join(label.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("label").alias("m"))
         stepped = label.join(near, "u").select("u", F.least("label", "m").alias("nxt"), "label")
         jumped = stepped.join(stepped.select(F.col("u").alias("nxt"), F.col("nxt").alias("far")), "nxt", "left").select("u", F.coalesce("far", "nxt").alias("nxt"), "label")

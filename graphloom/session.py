@@ -16,6 +16,7 @@ def local_session(cores: int = 8, partitions: int | None = None, memory: str = "
         .config("spark.sql.shuffle.partitions", str(partitions or cores))
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -24,12 +25,17 @@ def local_session(cores: int = 8, partitions: int | None = None, memory: str = "
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: the cluster's own setting, or a temporary folder where it has none."""
+    """The shared folder for cut lineage: the cluster's own setting; only a local master may go without, and gets a temporary folder.
+
+    A cluster that sets spark.cleaner.referenceTracking.cleanCheckpoints has its checkpoints deleted once nothing refers to them.
+    """
     sc = spark.sparkContext
     at = sc.getCheckpointDir()
     if at:
         return at
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
     return sc.getCheckpointDir()
 

@@ -169,6 +169,30 @@ def test_drift_changes(spark):
     ], key=str)
 
 
+def test_drift_long_contents(spark):
+    for n in (20, 80, 4000):
+        old, new = {"row_counts": [1000 + i for i in range(n)]}, {"counts_of_rows": [1001 + i for i in range(n)]}
+        got = rows(drift.changes(_manifests(spark, [("f", "a", old), ("f", "b", new)])))
+        assert got == [("f", "b", "row_counts", "renamed")], n
+
+
+def test_drift_does_not_depend_on_chunks(spark):
+    rng = random.Random(12)
+    bodies = []
+    for i in range(60):  # batch ids of no date; fields null for long, so that the next value lies in a later chunk
+        body = {"entities": None if i % 7 else 3000 + i, "producer" if i < 31 else "exporter": None if 25 < i < 45 else "tool 1.0", "zones": rng.choice([None, ["a"], "a"])}
+        bodies.append(("hot" if i % 3 else "f", f"run {i:05d}", body))
+    whole = rows(drift.changes(_manifests(spark, bodies), 1))
+    assert len(whole) > 5 and all(rows(drift.changes(_manifests(spark, bodies), n)) == whole for n in (7, 40))
+
+
+def test_more_fields_than_columns(spark):
+    m = _manifests(spark, [("f", "1", {"a": 1, "b": "x", "c": [1]}), ("f", "2", {"a": 2, "b": None})])
+    t = {r["batch_id"]: r.asDict() for r in drift.consistent_table(m, 1).collect()}
+    assert t["1"]["f_a"] == 1.0 and t["1"]["rest"] == {"b": '"x"', "c": "[1]"} and t["2"]["rest"] == {"b": None} and "f_b" not in t["1"]
+    assert "rest" not in drift.consistent_table(m, 3).columns
+
+
 def test_drift_empty_and_schema(spark):
     assert rows(drift.changes(_manifests(spark, []))) == []
     assert rows(drift.union_schema(_manifests(spark, []))) == []
