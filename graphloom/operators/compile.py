@@ -34,7 +34,7 @@ def dedupe_relationships(relationships: DataFrame) -> DataFrame:
 
 def canonical_model(objects: DataFrame, evidence: DataFrame) -> DataFrame:
     """Objects with their evidence embedded, by confidence from high to low (clamped to 0..1, ties by place in the list), and the top fragment as description; ids without evidence row fall away."""
-    one = evidence.select("id", "fragment", F.least(F.greatest(F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(1.0)).alias("confidence")).dropDuplicates(["id"])
+    one = evidence.select("id", "fragment", F.least(F.greatest(F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(1.0)).alias("confidence")).groupBy("id").agg(F.min(F.struct("confidence", "fragment")).alias("v")).select("id", "v.fragment", "v.confidence")
     listed = objects.select(F.col("id").alias("_o"), F.posexplode("evidence").alias("_p", "id")).join(one, "id")
     packed = listed.groupBy("_o").agg(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("k"), F.col("_p").alias("p"), "id", "fragment", "confidence"))).alias("_e"))
     out = objects.drop("evidence").join(packed, F.col("id") == F.col("_o"), "left")

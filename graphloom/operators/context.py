@@ -6,6 +6,7 @@ import hashlib
 import json
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 BUDGET = 200_000
@@ -28,6 +29,46 @@ def pack(items: DataFrame, budget: int = BUDGET) -> DataFrame:
     return listed.select("group_id", F.explode(F.aggregate("items", start, step, lambda a: a["taken"])).alias("t")).select("group_id", "t.item_id", "t.position")
 
 
+def question_context(objects: DataFrame, relationships: DataFrame, question: str, top: int = 5, depth: int = 1, budget: int = BUDGET) -> DataFrame:
+    """(group_id, item_id, position) of the context of a question: the best matches of objects (id, name, kind, content), each followed by its neighbourhood by hop and id, packed under the budget.
+
+    An item's size is that of its name and content. Matches and hops bound what is packed.
+    """
+    from functools import reduce
+
+    from graphloom.operators import graph, search
+
+    found = search.ask(objects, question, top).collect()
+    none = objects.select("id").limit(0).select(F.lit(0).alias("m"), F.lit(0).alias("hop"), F.col("id").alias("item_id"))
+    near = [graph.neighbourhood(objects, relationships, r["id"], depth)[0].select(F.lit(i).alias("m"), "hop", F.col("id").alias("item_id")) for i, r in enumerate(found)]
+    first = reduce(DataFrame.unionByName, near, none).groupBy("item_id").agg(F.min(F.struct("m", "hop")).alias("at"))
+    sized = first.join(objects.select(F.col("id").alias("item_id"), (F.char_length(F.coalesce("name", F.lit(""))) + F.char_length(F.coalesce("content", F.lit("")))).alias("n_chars")), "item_id")
+    ranked = sized.select(F.lit(question).alias("group_id"), "item_id", "n_chars", (F.col("at.m") * (depth + 1) + F.col("at.hop")).cast("bigint").alias("position"))
+    return pack(ranked, budget)
+
+
+def cited(answers: DataFrame, known: DataFrame) -> DataFrame:
+    """(answer_id, position, citation): the known (id) citations of the last JSON object of each answer (answer_id, content), once each, in order."""
+
+    @F.pandas_udf("array<string>")
+    def listed(contents: pd.Series) -> pd.Series:
+        return pd.Series([_listed(c) if isinstance(c, str) else [] for c in contents])
+
+    rows = answers.select("answer_id", F.posexplode(listed("content")).alias("position", "citation"))
+    return rows.join(known.select(F.col("id").alias("citation")).distinct(), "citation", "left_semi").select("answer_id", "position", "citation")
+
+
+def _listed(content: str) -> list[str]:
+    at = content.rfind("{")
+    while at >= 0:
+        try:
+            found = json.JSONDecoder().raw_decode(content[at:])[0]
+            return list(dict.fromkeys(str(i) for i in found.get("citations", []))) if isinstance(found, dict) else []
+        except ValueError:
+            at = content.rfind("{", 0, at)
+    return []
+
+
 def citations(content: str, known: set[str]) -> tuple[str, list[str]]:
     """(text before, known ids) of the last JSON object in an answer; what is no such object leaves the answer as it is."""
     at = content.rfind("{")
@@ -58,6 +99,20 @@ def schema_prompt(tables: dict[str, list[tuple[str, str]]]) -> str:
     return "\n".join(f"{t}({', '.join(f'{c} {k}' for c, k in columns)})" for t, columns in sorted(tables.items()))
 
 
+def audit_rows(database: str, question: str, sql: str, rows: list, at: str) -> tuple[dict, dict]:
+    """(event, evidence) that record a query that was run: the event names the evidence, whose fragment is the statement and the hash of its result."""
+    seen = audit_event(database, question, sql, rows)
+    evidence = {"id": hashlib.sha256(f"{at}|{sql}|{seen['result_hash']}".encode()).hexdigest()[:32], "path": database, "fragment": f"{sql} -> {seen['result_hash']}", "confidence": 1.0, "created_at": at}
+    return {"kind": "QueryExecuted", "payload": json.dumps(seen, sort_keys=True), "evidence": [evidence["id"]], "occurred_at": at}, evidence
+
+
+def schema_rows(tables: DataFrame, source_system: str | None = None) -> DataFrame:
+    """(line): a line name(column type, ...) for each table (table_name, source_system, columns of (name, data_type)) of a system, of any where none is named."""
+    rows = tables if source_system is None else tables.where(F.col("source_system") == source_system)
+    cols = F.array_join(F.transform("columns", lambda c: F.concat_ws(" ", c["name"], c["data_type"])), ", ")
+    return rows.select(F.concat("table_name", F.lit("("), cols, F.lit(")")).alias("line"))
+
+
 def audit_event(database: str, question: str, sql: str, rows: list) -> dict:
     """What is recorded of a query that was run: never its rows, only their hash."""
     return {"database": database, "question": question, "sql": sql, "n_rows": len(rows), "result_hash": hashlib.sha256(json.dumps(rows, sort_keys=True, default=str).encode()).hexdigest()}

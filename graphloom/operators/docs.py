@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def kind_counts(objects: DataFrame) -> DataFrame:
@@ -70,3 +70,58 @@ def er_diagram(tables: dict[str, list[tuple[str, str]]], keys: list[tuple[str, s
 
 def readme(counts: list[tuple[str, int]]) -> str:
     return "\n".join(["# Overview", "", "| kind | objects |", "|---|---|", *[f"| {k} | {n} |" for k, n in sorted(counts)]]) + "\n"
+
+
+def page_rows(relationships: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(object_id, direction, kind, other_id, first_fragment): the lines of each object's page, a relationship with the first evidence of its list that exists."""
+    text = evidence.groupBy("id").agg(F.min("fragment").alias("fragment")).select(F.col("id").alias("_e"), "fragment")
+    listed = relationships.select("id", F.posexplode("evidence").alias("_p", "_e")).join(text, "_e").groupBy("id").agg(F.min_by("fragment", "_p").alias("first_fragment"))
+    r = relationships.select("id", "kind", "from", "to").join(listed, "id", "left")
+    side = lambda own, other, d: r.select(F.col(own).alias("object_id"), F.lit(d).alias("direction"), "kind", F.col(other).alias("other_id"), "first_fragment")
+    return side("from", "to", "out").unionByName(side("to", "from", "in"))
+
+
+def pages(objects: DataFrame, relationships: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(id, page, text): each object's page in Markdown, its relationships by direction, kind and other name, at a path of its own."""
+    names = objects.groupBy("id").agg(F.min("name").alias("other_name")).withColumnRenamed("id", "other_id")
+    rows = page_rows(relationships, evidence).join(names, "other_id", "left")
+    line = F.concat(F.lit("- "), "direction", F.lit(" "), "kind", F.lit(": "), F.coalesce("other_name", "other_id", F.lit("?")), F.coalesce(F.concat(F.lit(" ("), "first_fragment", F.lit(")")), F.lit("")))
+    listed = rows.where("object_id is not null").select("object_id", line.alias("line")).groupBy("object_id").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("body"))
+    one = objects.groupBy("id").agg(F.min("name").alias("name"), F.min("kind").alias("kind"))
+    head = F.concat(F.lit("# "), F.coalesce("name", F.lit("?")), F.lit("\n\nKind: "), F.coalesce("kind", F.lit("?")), F.lit("\n\n"))
+    text = one.join(listed, F.col("id") == F.col("object_id"), "left").select("id", F.concat(head, F.coalesce("body", F.lit("No relationships."))).alias("text"))
+    return page_paths(objects).join(text, "id").select("id", "page", "text")
+
+
+def html(text: Column) -> Column:
+    """A page of such Markdown (headings, list items, paragraphs) as HTML."""
+    safe = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    line = lambda c: F.when(c.startswith("# "), F.concat(F.lit("<h1>"), F.regexp_replace(c, "^# ", ""), F.lit("</h1>"))).when(c.startswith("- "), F.concat(F.lit("<li>"), F.regexp_replace(c, "^- ", ""), F.lit("</li>"))).otherwise(F.concat(F.lit("<p>"), c, F.lit("</p>")))
+    return F.array_join(F.transform(F.filter(F.split(safe, "\n"), lambda c: c != ""), line), "\n")
+
+
+def data_flow(objects: DataFrame, relationships: DataFrame) -> DataFrame:
+    """(origin, from, to, n_steps): the FeedsInto edges between steps of one origin, which is a step's name up to its last colon; n_steps counts the origin's steps. Origins without edges have one row with none."""
+    colon = F.length("name") - F.instr(F.reverse("name"), ":")
+    steps = objects.where("kind = 'TransformNode'").select("id", F.when(F.col("name").contains(":"), F.substring("name", F.lit(1), colon)).otherwise(F.col("name")).alias("origin"))
+    size = steps.groupBy("origin").agg(F.count(F.lit(1)).alias("n_steps"))
+    fed = relationships.where(F.lower("kind") == "feedsinto").select("from", "to")
+    end = lambda c: steps.select(F.col("id").alias(c), F.col("origin").alias(f"_{c}"))
+    edges = fed.join(end("from"), "from").join(end("to"), "to").where("_from = _to").select(F.col("_from").alias("origin"), "from", "to")
+    return size.join(edges, "origin", "left").select("origin", "from", "to", "n_steps")
+
+
+def call_sequences(objects: DataFrame, relationships: DataFrame) -> DataFrame:
+    """(module, from, to): Calls edges by the name of the file that contains the caller, the smallest of several; '(file unknown)' where none does."""
+    files = objects.where("kind = 'File'").select(F.col("id").alias("from"), F.col("name").alias("file"))
+    holder = relationships.where(F.lower("kind") == "contains").select("from", "to").join(files, "from").groupBy(F.col("to").alias("_to")).agg(F.min("file").alias("file"))
+    calls = relationships.where(F.lower("kind") == "calls").select("from", "to")
+    return calls.join(holder, F.col("from") == F.col("_to"), "left").select(F.coalesce("file", F.lit("(file unknown)")).alias("module"), "from", "to")
+
+
+def kind_graph(objects: DataFrame, relationships: DataFrame, kind: str) -> DataFrame:
+    """(from_name, kind, to_name): edges between two objects of one kind, data flow left out, each once."""
+    named = objects.where(F.col("kind") == kind).groupBy("id").agg(F.min("name").alias("n"))
+    end = lambda c: named.select(F.col("id").alias(c), F.col("n").alias(f"{c}_name"))
+    r = relationships.where(F.lower("kind") != "feedsinto").select("from", "to", F.lower("kind").alias("kind"))
+    return r.join(end("from"), "from").join(end("to"), "to").select("from_name", "kind", "to_name").distinct()

@@ -81,6 +81,20 @@ def dependents(objects: DataFrame, relationships: DataFrame) -> DataFrame:
     return ids.join(inward, "node_id", "left").join(outward, "node_id", "left").select("node_id", F.coalesce("i", F.lit(0)).alias("n_incoming"), F.coalesce("o", F.lit(0)).alias("n_outgoing"))
 
 
+def dependents_named(objects: DataFrame, relationships: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node_id, direction, kind, other_id, other_name) of nodes (id): who points at them (incoming, a self-loop too) and whom they point at, with names."""
+    names = objects.select(F.col("id").alias("other_id"), F.col("name").alias("other_name"))
+    ids = nodes.select(F.col("id").alias("node_id")).distinct()
+    inward = relationships.join(ids, F.col("to") == F.col("node_id")).select("node_id", F.lit("incoming").alias("direction"), "kind", F.col("from").alias("other_id"))
+    outward = relationships.where(~F.col("from").eqNullSafe(F.col("to"))).join(ids, F.col("from") == F.col("node_id")).select("node_id", F.lit("outgoing").alias("direction"), "kind", F.col("to").alias("other_id"))
+    return inward.unionByName(outward).join(names, "other_id", "left").select("node_id", "direction", "kind", "other_id", "other_name")
+
+
+def chain(objects: DataFrame, relationships: DataFrame, roots: DataFrame, most: int = 50) -> DataFrame:
+    """(root_id, node_id, hop, edge_id): everything upstream of roots (id) along FeedsInto edges, at most so many hops."""
+    return trace(objects, relationships, roots, "dependents", ["FeedsInto"], most)
+
+
 def world(objects: DataFrame, relationships: DataFrame, events: DataFrame, scope: DataFrame, at: str | None = None) -> dict[str, DataFrame]:
     """The subgraph induced by scope (id): its objects, its events up to at, and the relationships with both ends in it that are not pending."""
     ids = scope.select("id").distinct()

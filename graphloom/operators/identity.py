@@ -14,6 +14,7 @@ from graphloom.session import cut
 THRESHOLD, CONCEPT_THRESHOLD = 0.90, 0.95
 WEIGHTS = {"column_overlap": 0.4, "name_pattern": 0.4, "type_compat": 0.2}
 CROSS_SYSTEM_LEAST = 0.3
+EXCLUDED = ("Section", "TransformNode", "RustSymbol", "RustModule", "PythonSymbol", "PythonModule", "Crate", "Claim", "ArchitectureGap")
 FREE_TEXT_MOST, FREE_TEXT_WORD = 20, 0.90
 #: Objects that meet those of another block in one row.
 PAIR_BLOCK = 1000
@@ -114,13 +115,13 @@ def structural(a: str, b: str) -> Column:
     return F.when(both("columns"), jaccard(*of("columns"))).when(both("cells"), jaccard(*of("cells"))).otherwise(F.lit(1.0))
 
 
-def blocked_pairs(objects: DataFrame, excluded: list[str] = (), largest: int = 1000) -> DataFrame:
+def blocked_pairs(objects: DataFrame, excluded: list[str] = EXCLUDED, largest: int = 1000, thresholds: dict[str, float] | None = None) -> DataFrame:
     """(left_id, right_id, left_name, right_name, kind, score) of objects (id, name, kind) of one kind whose normalised names share three first letters, at or above the threshold.
 
     Objects may have columns and cells, sorted arrays or null, for the structural part of the score. Equal comparable names with equal columns and cells
     are one class: its smallest id links to the others, and only classes are paired, through pairs of names that alone do not rule them out. Blocks of more
     than largest names are split by the length of the name, with neighbours in length met as well, so that no block is paired whole and no pair above the
-    threshold is lost.
+    threshold is lost. Kinds whose ids already say all are left out; thresholds has those of single kinds.
     """
     structure = [F.col(c) if c in objects.columns else F.lit(None).cast("array<string>").alias(c) for c in ("columns", "cells")]
     named = objects.where(~F.col("kind").isin(list(excluded)) if excluded else F.lit(True)).select("id", "kind", comparable_name(F.col("name"), F.col("kind")).alias("shown"), normalized_name(F.col("name")).alias("norm"), *structure)
@@ -142,7 +143,9 @@ def blocked_pairs(objects: DataFrame, excluded: list[str] = (), largest: int = 1
     on = (F.col("l.kind") == F.col("r.kind")) & (F.col("l.block") == F.col("r.block")) & (F.col("l.cell") == F.col("r.cell"))
     once = (F.length("l.key") < F.length("r.key")) | ((F.length("l.key") == F.length("r.key")) & (F.col("l.key") < F.col("r.key")))
     near = l.join(r, on & once & (2 * F.length("r.key") <= 7 * F.length("l.key") + 1)).select(F.col("l.kind").alias("kind"), F.col("l.block").alias("block"), F.col("l.key").alias("ka"), F.col("r.key").alias("kb"))
-    least = F.when(F.col("kind") == "Concept", CONCEPT_THRESHOLD).otherwise(THRESHOLD)
+    least = F.lit(THRESHOLD)
+    for k, t in ({"Concept": CONCEPT_THRESHOLD} | (thresholds or {})).items():
+        least = F.when(F.col("kind") == k, t).otherwise(least)
     alike = near.withColumn("jw", jaro_winkler_udf("ka", "kb")).where(F.round(0.7 * F.col("jw") + 0.3, 6) >= least)
     alike = alike.unionByName(keys.where("n > 1").select("kind", "block", F.col("key").alias("ka"), F.col("key").alias("kb"), F.lit(1.0).alias("jw")))
     side = lambda k, name: classes.select("kind", "block", F.col("key").alias(k), F.struct("first", "columns", "cells").alias(name))
@@ -171,6 +174,13 @@ def merge_groups(pairs: DataFrame) -> DataFrame:
     return label.join(exact, "label").select(F.col("u").alias("id"), F.col("label").alias("canonical_id"), "exact")
 
 
+def group_confidence(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """(canonical_id, n_members, exact, confidence): each group of merge_groups with the best score of its pairs."""
+    best = pairs.join(groups.select(F.col("id").alias("left_id"), "canonical_id"), "left_id").groupBy("canonical_id").agg(F.max("score").alias("confidence"))
+    sizes = groups.groupBy("canonical_id").agg(F.count(F.lit(1)).alias("n_members"), F.min("exact").alias("exact"))
+    return sizes.join(best, "canonical_id").select("canonical_id", "n_members", "exact", "confidence")
+
+
 def conflicts(objects: DataFrame) -> DataFrame:
     """(norm_name, n_kinds, kinds): normalised names that objects of several kinds share."""
     n = objects.select(normalized_name(F.col("name")).alias("norm_name"), "kind").where("norm_name <> ''")

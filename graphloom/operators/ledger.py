@@ -65,6 +65,39 @@ def merge_branch(main: DataFrame, branch: DataFrame, key: str, signature: str) -
     return branch.join(m, key, "left").select(key, outcome.alias("outcome"))
 
 
+def diff_versions(log: DataFrame, key: str, time: str, start: str, end: str) -> DataFrame:
+    """(key, time, n) of the window (start, end]: the versions of each touched key, by time."""
+    kind = log.schema[time].dataType
+    return log.where((F.col(time) > F.lit(start).cast(kind)) & (F.col(time) <= F.lit(end).cast(kind))).groupBy(key, time).agg(F.count(F.lit(1)).alias("n"))
+
+
+def relationships_at(log: DataFrame, order: list[str], time: str, at: str, nodes: DataFrame) -> DataFrame:
+    """(node_id, relationship columns): relationships touching nodes (id), each as it was at a time, whatever became of it later; a self-loop once."""
+    from graphloom.operators.graph import touching
+
+    return touching(as_of(log, "id", order, time, at), nodes)
+
+
+def merged(main: DataFrame, branch: DataFrame, key: str, signature: str) -> DataFrame:
+    """The rows of main and those of the branch whose key main lacks."""
+    return main.unionByName(branch.join(main.select(key), key, "left_anti").select(main.columns))
+
+
+def commit(current: DataFrame, incoming: DataFrame, key: str, signature: str) -> DataFrame:
+    """incoming with written: true where its key is new or its signature differs from the current one (append only these), else false."""
+    now = current.select(F.col(key).alias("_key"), F.col(signature).alias("_now"), F.lit(True).alias("_there"))
+    return incoming.join(now, F.col(key) == F.col("_key"), "left").withColumn("written", F.col("_there").isNull() | ~F.col("_now").eqNullSafe(F.col(signature))).drop("_key", "_now", "_there")
+
+
+def commit_report(**parts: DataFrame) -> DataFrame:
+    """(entry_type, n_written, n_skipped) of commits by entry type."""
+    out = None
+    for name, df in parts.items():
+        one = df.agg(F.lit(name).alias("entry_type"), F.coalesce(F.sum(F.col("written").cast("bigint")), F.lit(0)).alias("n_written"), F.coalesce(F.sum((~F.col("written")).cast("bigint")), F.lit(0)).alias("n_skipped"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def counts(**tables: DataFrame) -> DataFrame:
     """(name, n_versions, n_ids) of tables with a column id."""
     out = None
@@ -225,6 +258,46 @@ def fold_facts(facts: DataFrame, until: Column | None = None) -> DataFrame:
     return last.where("v.op = 'assert'").select("entity", "attr", "pos", F.col("v.value").alias("value"))
 
 
+#: The keys facts are sorted by for scans by entity, by attribute and by reference, and the runs of an order before they are compacted; fixed values.
+ORDERS = {"eavt": ["entity", "attr", "tx"], "aevt": ["attr", "entity", "tx"], "avet": ["attr", "value", "entity", "tx"]}
+MOST_RUNS = 8
+
+
+def scan(facts: DataFrame, order: str, *prefix: str) -> DataFrame:
+    """The facts under a prefix of an order: (entity[, attr]) of eavt, (attr[, entity]) of aevt, (attr[, value]) of avet, which has references only.
+
+    Plain equalities, so that they reach the scan of files that compact wrote in this order.
+    """
+    rows = facts.where("value_type = 'ref'") if order == "avet" else facts
+    for c, v in zip(ORDERS[order], prefix):
+        rows = rows.where(F.col(c) == F.lit(v))
+    return rows
+
+
+def write_index(facts: DataFrame, root: str, files: int = 8) -> None:
+    """Adds one sorted run of facts to each order under root."""
+    import uuid
+
+    for order, keys in ORDERS.items():
+        run = facts.where("value_type = 'ref'") if order == "avet" else facts
+        compact(run, f"{root}/{order}/run={uuid.uuid4().hex}", keys, files)
+
+
+def compact_runs(spark, root: str, order: str, files: int = 8, most: int = MOST_RUNS) -> int:
+    """Merges the runs of an order into one where there are more than most; gives the number of runs then. The old runs go only after the new one is whole."""
+    import uuid
+
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{order}")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    runs = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("run=")]
+    if len(runs) <= most:
+        return len(runs)
+    compact(spark.read.parquet(*[r.toString() for r in runs]), f"{root}/{order}/run={uuid.uuid4().hex}", ORDERS[order], files)
+    for r in runs:
+        fs.delete(r, True)
+    return 1
+
+
 def compact(df: DataFrame, path: str, keys: list[str], files: int) -> None:
     """Rewrites runs as sorted files, so that min/max statistics prune scans by entity, attribute or reference."""
     df.repartitionByRange(files, *keys).sortWithinPartitions(*keys).write.mode("overwrite").option("compression", "zstd").parquet(path)

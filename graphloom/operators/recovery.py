@@ -128,6 +128,27 @@ def statements(sql: str) -> list[str]:
     return [s.strip() for part in [*out, cur] for s in re.split(r"(?im)(?<=\))\s*\n(?=\s*(?:create|insert|alter|drop)\s)", part) if s.strip()]
 
 
+_STARTS = re.compile(r"(?i)^\s*(?:select|insert|update|delete|create|alter|drop|with|merge|truncate)\b")
+_SET_OPERATION = re.compile(r"(?i)\b(?:union(?:\s+all)?|intersect|except)\s*$")
+
+
+def repaired(sql: str) -> str:
+    """A script with a ; put before each line that begins a statement, outside brackets, where the one before has none and does not end in a set operation.
+
+    Only for scripts that do not parse as they are: a statement of several lines may well have a line that begins so.
+    """
+    out, depth, open_, joined = [], 0, False, False
+    for line in sql.splitlines():
+        if depth == 0 and open_ and not joined and _STARTS.match(line):
+            out.append(";")
+        out.append(line)
+        depth = max(0, depth + line.count("(") - line.count(")"))
+        if line.strip():
+            joined = bool(_SET_OPERATION.search(line))
+            open_ = not (depth == 0 and line.rstrip().endswith(";"))
+    return "\n".join(out)
+
+
 def _items(body: str) -> list[str]:
     out, depth, cur, quote = [], 0, "", ""
     for c in body:
@@ -260,6 +281,75 @@ def rust_symbols(files: DataFrame) -> DataFrame:
     return code.mapInPandas(run, "file_id bigint, name string, kind string")
 
 
+_RUST_USE = re.compile(r"(?m)^\s*(?:pub(?:\([^)]*\))?\s+)?use\s+([^;]+);")
+_RUST_IMPL = re.compile(r"(?m)^\s*(?:unsafe\s+)?impl\b(?:\s*<[^{]*?>)?\s+(?:[\w:<>,' &]+?\s+for\s+)?([\w:]+)[^{;]*\{")
+_RUST_FN = re.compile(r"\bfn\s+(\w+)\s*(?:<[^{;(]*>)?\s*\(")
+
+
+def rust_bare(source: str) -> str:
+    """Rust source with comments and the contents of text and character literals blanked, places kept."""
+    blank = lambda m: re.sub(r"[^\n]", " ", m.group(0))
+    return re.sub(r"""//[^\n]*|/\*.*?\*/|\br(#*)".*?"\1|b?"(?:\\.|[^"\\])*"|b?'(?:\\.[^']*|[^'\\\n])'""", blank, source, flags=re.S)
+
+
+def rust_imports(tree: str) -> list[str]:
+    """The paths of a use tree: a::{b, c as d, e::*} gives a::b, a::c, a::e::*; self stands for its parent."""
+    tree = re.sub(r"\s+as\s+\w+", "", re.sub(r"\s+", " ", tree)).strip()
+    at = tree.find("{")
+    if at < 0:
+        return [tree.removesuffix("::self")]
+    head, inner, depth, part, out = tree[:at].strip(), tree[at + 1 : tree.rfind("}")], 0, "", []
+    for c in inner + ",":
+        depth += (c == "{") - (c == "}")
+        if c == "," and depth == 0:
+            out += [(head + p).removesuffix("::self") for p in (rust_imports(part) if part.strip() else [])]
+            part = ""
+        else:
+            part += c
+    return out
+
+
+def _block_end(bare: str, at: int) -> int:
+    depth = 0
+    for m in re.compile(r"[{}]").finditer(bare, at):
+        depth += 1 if m.group() == "{" else -1
+        if depth == 0:
+            return m.end()
+    return len(bare)
+
+
+def rust_module(source: str) -> dict[str, list]:
+    """functions (name, owner), where owner is the type of the impl or trait around, imports, and calls (caller, callee) to functions that the file declares once."""
+    bare = rust_bare(source)
+    owners = [(m.start(), _block_end(bare, m.end() - 1), m.group(1).split("::")[-1]) for m in _RUST_IMPL.finditer(bare)]
+    owners += [(m.start(), _block_end(bare, m.end() - 1), m.group(1)) for m in re.finditer(r"\btrait\s+(\w+)[^{;]*\{", bare)]
+    functions = []
+    for m in _RUST_FN.finditer(bare):
+        body = re.compile(r"[{;]").search(bare, m.end())
+        end = _block_end(bare, body.start()) if body and body.group() == "{" else m.end()
+        owner = next((o for a, b, o in owners if a <= m.start() < b), None)
+        functions.append((m.group(1), owner, body.start() if body else m.end(), end))
+    declared = [n for n, *_ in functions]
+    once = {n for n in declared if declared.count(n) == 1}
+    calls = {(n, c) for n, _, a, b in functions for c in re.findall(r"(?<![\w!])(\w+)\s*\(", re.sub(r"\bfn\s+\w+", " ", bare[a:b])) if c in once}
+    return {"functions": [(n, o) for n, o, *_ in functions], "imports": sorted({p for m in _RUST_USE.finditer(bare) for p in rust_imports(m.group(1))}), "calls": sorted(calls)}
+
+
+def rust_graph(files: DataFrame) -> DataFrame:
+    """(file_id, kind, name, target) of Rust files: function and method (target its type), import (the path) and call (caller, callee; only to what the file declares once)."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for i, s in zip(pdf["file_id"], pdf["source"]):
+                m = rust_module(s)
+                out += [(i, "method" if o else "function", n, o) for n, o in m["functions"]] + [(i, "import", p, None) for p in m["imports"]] + [(i, "call", a, b) for a, b in m["calls"]]
+            yield pd.DataFrame(out, columns=["file_id", "kind", "name", "target"])
+
+    code = files.where(F.lower("path").endswith(".rs") & F.col("source").isNotNull()).select("file_id", "source")
+    return code.mapInPandas(run, "file_id bigint, kind string, name string, target string")
+
+
 def crate(manifest: str) -> dict | None:
     """Name and dependencies (name, how, detail) of a Cargo manifest: path, version or workspace; None if it does not parse or names no package."""
     try:
@@ -277,6 +367,13 @@ def crate(manifest: str) -> dict | None:
     return {"name": data["package"]["name"], "dependencies": out}
 
 
+def crate_gaps(topology: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(gaps (crate, dependency), claims (crate, dependency, statement, status)) of crate_topology: a gap for each path or workspace dependency that no crate is, a claim for each dependency."""
+    gaps = topology.where("not resolved and how in ('path', 'workspace')").select("crate", "dependency").distinct()
+    claims = topology.select("crate", "dependency", F.concat("crate", F.lit(" depends on "), "dependency").alias("statement"), F.when(F.col("resolved"), "supported").when(F.col("how").isin("path", "workspace"), "unresolved").otherwise("external").alias("status")).distinct()
+    return gaps, claims
+
+
 def crate_topology(files: DataFrame) -> DataFrame:
     """(crate, dependency, how, resolved) of TOML files (file_id, path, source): resolved if a crate of that name was seen."""
 

@@ -56,15 +56,45 @@ def search(objects: DataFrame, query: str, limit: int | None = LIMIT, any_term:
     stats = tf.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"len_{f}").alias(f"avg_{f}") for f in fields], *[F.sum((F.col(f"tf_{f}_{i}") > 0).cast("double")).alias(f"df_{f}_{i}") for f, i in cols])
     matches = [reduce(lambda a, b: a | b, [F.col(f"tf_{f}_{i}") > 0 for f in fields]) for i in range(len(terms))]
     wanted = reduce((lambda a, b: a | b) if any_term else (lambda a, b: a & b), matches)
+    return _ranked(tf.where(wanted), stats, len(terms), query, limit)
+
+
+def inverted(objects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(postings (term, field, id, tf), lengths (id, name, kind, len_name, len_kind, len_content)): write them once, sorted by term, for many queries.
+
+    A query then reads the postings of its terms alone, which files sorted by term prune to, and the lengths of the objects that match.
+    """
+    fields = list(BOOSTS)
+    tokens = objects.select("id", "name", "kind", *[_tokens(F.col(f)).alias(f"t_{f}") for f in fields])
+    posted = [tokens.select(F.explode(f"t_{f}").alias("term"), F.lit(f).alias("field"), "id") for f in fields]
+    postings = reduce(DataFrame.unionByName, posted).groupBy("term", "field", "id").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    return postings, tokens.select("id", "name", "kind", *[F.size(f"t_{f}").alias(f"len_{f}") for f in fields])
+
+
+def search_inverted(postings: DataFrame, lengths: DataFrame, query: str, limit: int | None = LIMIT, any_term: bool = False) -> DataFrame:
+    """What search gives, from inverted."""
+    terms, fields = query_terms(query), list(BOOSTS)
+    if not terms:
+        return postings.sparkSession.createDataFrame([], "id string, name string, kind string, score double")
+    of = lambda t: F.col("term").startswith(t[:-1]) if t.endswith("*") else F.col("term") == t
+    wanted = postings.where(reduce(lambda a, b: a | b, [of(t) for t in terms]))
+    tf = wanted.groupBy("id").agg(*[F.coalesce(F.sum(F.when((F.col("field") == f) & of(t), F.col("tf"))), F.lit(0)).alias(f"tf_{f}_{i}") for f in fields for i, t in enumerate(terms)])
+    df = tf.agg(*[F.coalesce(F.sum((F.col(f"tf_{f}_{i}") > 0).cast("double")), F.lit(0.0)).alias(f"df_{f}_{i}") for f in fields for i in range(len(terms))])
+    stats = lengths.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"len_{f}").alias(f"avg_{f}") for f in fields]).crossJoin(df)  # one row each
+    matches = [reduce(lambda a, b: a | b, [F.col(f"tf_{f}_{i}") > 0 for f in fields]) for i in range(len(terms))]
+    matched = tf.where(reduce((lambda a, b: a | b) if any_term else (lambda a, b: a & b), matches)).join(lengths, "id")
+    return _ranked(matched, stats, len(terms), query, limit)
+
+
+def _ranked(tf: DataFrame, stats: DataFrame, n_terms: int, query: str, limit: int | None) -> DataFrame:
     score = F.lit(0.0)
-    for f, i in cols:
-        df, n, x = F.col(f"df_{f}_{i}"), F.col("n"), F.col(f"tf_{f}_{i}")
-        idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * F.col(f"len_{f}") / F.when(F.col(f"avg_{f}") > 0, F.col(f"avg_{f}")).otherwise(1.0))
-        score = score + BOOSTS[f] * idf * x * (K1 + 1) / (x + norm)
-    scored = tf.where(wanted).crossJoin(F.broadcast(stats)).select("id", "name", "kind", F.round(score, 6).alias("score"))  # stats is one row
-    exact = (F.lower(F.col("name")) == query.lower().strip()).cast("int")
-    ranked = scored.orderBy(F.desc(exact), F.desc("score"), "id")
+    for f in BOOSTS:
+        for i in range(n_terms):
+            df, n, x = F.col(f"df_{f}_{i}"), F.col("n"), F.col(f"tf_{f}_{i}")
+            norm = K1 * (1 - B + B * F.col(f"len_{f}") / F.when(F.col(f"avg_{f}") > 0, F.col(f"avg_{f}")).otherwise(1.0))
+            score = score + BOOSTS[f] * F.log(1 + (n - df + 0.5) / (df + 0.5)) * x * (K1 + 1) / (x + norm)
+    scored = tf.crossJoin(F.broadcast(stats)).select("id", "name", "kind", F.round(score, 6).alias("score"))  # stats is one row
+    ranked = scored.orderBy(F.desc((F.lower(F.col("name")) == query.lower().strip()).cast("int")), F.desc("score"), "id")
     return ranked.limit(limit) if limit else ranked
 
 

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import random
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from graphloom.operators import graph, ledger
+from graphloom.operators.ranking import numbered
+from graphloom.session import cut
 
 # What actions cost, what channels hold, and what trust gains.
 ENERGY, TRUST_STEP, TRUST_MOST, ALLIANCE_TRUST = 0.1, 0.2, 1.0, 0.4
@@ -28,27 +34,46 @@ def validate(actions: DataFrame, observed: DataFrame, trust: DataFrame) -> DataF
 
 def priority(seed: int, round_: int) -> list[Column]:
     """More confident first; ties in an order drawn from seed and round."""
-    return [F.desc("confidence"), F.xxhash64(F.lit(seed + round_), "agent_id"), F.col("agent_id")]
+    return [F.desc("confidence"), F.md5(F.concat(F.lit(f"{seed + round_}:"), F.col("agent_id").cast("string"))), F.col("agent_id")]
 
 
 def race(posts: DataFrame, capacity: DataFrame, seed: int = 0, round_: int = 0) -> DataFrame:
     """posts (agent_id, channel_id, confidence, energy) with outcome: tired where energy is short, full where the channel (channel_id, capacity) has no room, else done.
 
-    Each action costs the same, so a place in the order decides. Energy is paid before the channel is asked: who finds it full has paid. A channel's order is one
-    window over its posts of the round.
+    Each action costs the same, so a place in the order decides. Energy is paid before the channel is asked: who finds it full has paid. A channel with
+    any number of posts is ordered by ranges.
     """
     paid = posts.withColumn("tired", F.col("energy") < ENERGY)
-    w = Window.partitionBy("channel_id", "tired").orderBy(*priority(seed, round_))
-    placed = paid.withColumn("place", F.row_number().over(w)).join(capacity, "channel_id", "left")
+    placed = numbered(paid, ["channel_id", "tired"], priority(seed, round_), "place").join(capacity, "channel_id", "left")
     outcome = F.when(F.col("tired"), "tired").when(F.col("capacity").isNotNull() & (F.col("place") > F.col("capacity")), "full").otherwise("done")
     return placed.select("agent_id", "channel_id", outcome.alias("outcome"), F.round(F.when(F.col("tired"), F.col("energy")).otherwise(F.col("energy") - ENERGY), 6).alias("energy_left"))
 
 
-def observers(actions: DataFrame, agents: DataFrame) -> DataFrame:
-    """(event_id, observer_id) of actions (event_id, agent_id, target, visibility): self reaches the actor, private the target too, public all agents."""
-    own = actions.where("visibility <> 'public'").select("event_id", F.explode(F.array_compact(F.array("agent_id", F.when(F.col("visibility") == "private", F.col("target"))))).alias("observer_id"))
-    every = actions.where("visibility = 'public'").select("event_id", F.lit(1).alias("_all"))
-    return own.unionByName(every.join(agents.select(F.col("agent_id").alias("observer_id"), F.lit(1).alias("_all")), "_all").select("event_id", "observer_id")).distinct()
+EVERYBODY = "*"
+
+
+def observers(actions: DataFrame, agents: DataFrame | None = None) -> DataFrame:
+    """(event_id, observer_id) of actions (event_id, agent_id, target, visibility): self reaches the actor, private the target too, public the class of all agents, '*'.
+
+    A public event is one row: observed_by says what an agent sees, so that events and agents never multiply.
+    """
+    seen = F.when(F.col("visibility") == "public", F.array(F.lit(EVERYBODY))).otherwise(F.array_compact(F.array("agent_id", F.when(F.col("visibility") == "private", F.col("target")))))
+    return actions.select("event_id", F.explode(seen).alias("observer_id")).distinct()
+
+
+def observed_by(fan_out: DataFrame, agents: DataFrame) -> DataFrame:
+    """(agent_id, event_id) that agents (agent_id), a set of at most MOST_ASKED that was asked for, see of observers: their own and, each, the public ones."""
+    asked = agents.select("agent_id").distinct()
+    few = [r["agent_id"] for r in asked.orderBy("agent_id").limit(MOST_ASKED + 1).collect()]
+    if len(few) > MOST_ASKED:
+        raise ValueError(f"ask for at most {MOST_ASKED} agents at once")
+    own = fan_out.where(F.col("observer_id") != EVERYBODY).join(asked, F.col("observer_id") == F.col("agent_id")).select("agent_id", "event_id")
+    public = fan_out.where(F.col("observer_id") == EVERYBODY).select("event_id").withColumn("agent_id", F.explode(F.array(*[F.lit(a) for a in few]).cast("array<string>")))
+    return own.unionByName(public.select("agent_id", "event_id")).distinct()
+
+
+#: Agents whose view is asked for at once; more are asked in turns.
+MOST_ASKED = 1000
 
 
 def bump_trust(trust: DataFrame, gained: DataFrame) -> DataFrame:
@@ -65,8 +90,7 @@ def add_once(edges: DataFrame, more: DataFrame, key: list[str]) -> DataFrame:
 def channel_messages(messages: DataFrame, channel: str | None = None) -> DataFrame:
     """(channel_id, position, message_id): a channel's messages, oldest first, ties by id; of all channels where none is named."""
     rows = messages if channel is None else messages.where(F.col("channel_id") == channel)
-    w = Window.partitionBy("channel_id").orderBy("sent_at", "message_id")
-    return rows.withColumn("position", F.row_number().over(w)).select("channel_id", "position", "message_id")
+    return numbered(rows.select("channel_id", "sent_at", "message_id"), ["channel_id"], [F.col("sent_at"), F.col("message_id")]).select("channel_id", "position", "message_id")
 
 
 def rounds(events: DataFrame) -> DataFrame:
@@ -83,3 +107,83 @@ def run_round(agents: DataFrame, goals: DataFrame, observed: DataFrame, trust: D
     outcome = race(posts, channels, seed, round_).join(posts.select("agent_id", "target", "action"), "agent_id")
     gained = outcome.where("outcome = 'done' and action = 'Support'").select("agent_id", "target")
     return {"decisions": decided, "outcomes": outcome, "trust": bump_trust(trust, gained)}
+
+
+def simulate(agents: DataFrame, goals: DataFrame, observed: DataFrame, trust: DataFrame, channels: DataFrame, rounds_: int, seed: int = 0) -> dict[str, DataFrame]:
+    """All rounds one after the other, each on what the round before left: events (round, agent_id, action, target, outcome), agents and trust at the end.
+
+    What a round leaves is written to the checkpoint folder before the next one begins.
+    """
+    events, energy = None, agents
+    for r in range(rounds_):
+        done = run_round(energy, goals, observed, trust, channels, seed, r)
+        outcome = cut(done["outcomes"])
+        trust = cut(done["trust"])
+        left = outcome.groupBy("agent_id").agg(F.min("energy_left").alias("_left"))
+        energy = cut(energy.join(left, "agent_id", "left").withColumn("energy", F.coalesce("_left", "energy")).select(agents.columns))
+        one = outcome.select(F.lit(r).alias("round"), "agent_id", "action", "target", "outcome")
+        events = one if events is None else events.unionByName(one)
+    return {"events": events, "agents": energy, "trust": trust}
+
+
+def round_times(events: DataFrame) -> DataFrame:
+    """(round, at): the time each round's events share, which is that of the state its agents decided on; the earliest where they differ."""
+    return rounds(events).select("round", F.col("first_at").alias("at"))
+
+
+def replay(events: DataFrame, log: DataFrame, round_: int, order: list[str] = ("created_at", "sig"), time: str = "created_at") -> DataFrame:
+    """The log's versions (id, ...) as they were going into a round; an unknown round is a LookupError."""
+    at = round_times(events).where(F.col("round") == round_).collect()
+    if not at:
+        raise LookupError(f"round {round_}")
+    return ledger.as_of(log, "id", list(order), time, at[0]["at"])
+
+
+def inspect_agent(objects: DataFrame, relationships: DataFrame, events: DataFrame, agent: str, at) -> dict[str, DataFrame]:
+    """What an agent observed at a time: itself and whom its Knows edges of then name, as a world; objects and relationships are version logs."""
+    then = lambda log, order: ledger.as_of(log, "id", order, "created_at", at)
+    o, r = then(objects, ["created_at", "sig"]), then(relationships, ["created_at", "from", "to"])
+    me = o.sparkSession.createDataFrame([(agent,)], "id string")
+    return graph.world(o, r, events, graph.observed_scope(r, me).select("id"), at)
+
+
+class ScenarioError(ValueError):
+    """A scenario with a name given twice or a reference to none."""
+
+
+def load_scenario(document: dict) -> dict[str, object]:
+    """names, objects, relationships, goals, rounds and seed of a scenario read from YAML or JSON.
+
+    All agents and events are named before anything refers to them, so the order in the document does not matter. Ids are drawn from the scenario's
+    own id and the name, so that loading twice gives the same.
+    """
+    import uuid
+
+    names: dict[str, str] = {}
+
+    def register(name: str) -> str:
+        if name in names:
+            raise ScenarioError(f"{name} is named twice")
+        names[name] = str(uuid.uuid5(uuid.NAMESPACE_URL, f"scenario:{document['id']}:{name}"))
+        return names[name]
+
+    def resolve(name: str) -> str:
+        if name not in names:
+            raise ScenarioError(f"{name} is not known")
+        return names[name]
+
+    agents, events = document.get("agents") or [], document.get("events") or []
+    objects = [(register(a["id"]), a.get("name", a["id"]), "SimulatedAgent") for a in agents]
+    logged = [(register(e["id"]), e.get("kind", "Created"), e.get("subjects") or []) for e in events]
+    rels = []
+    for a in agents:
+        for other in a.get("knows") or a.get("knowledge") or []:
+            rels.append((names[a["id"]], resolve(other), "Knows", None))
+        for r in a.get("relationships") or []:
+            rels.append((names[a["id"]], resolve(r["target"]), r.get("kind", "Knows"), r.get("trust")))
+    settings = document.get("simulation") or {}
+    return {
+        "names": names, "objects": objects, "events": [(i, k, resolve(s)) for i, k, ss in logged for s in ss], "relationships": rels,
+        "goals": [(names[a["id"]], p, g) for a in agents for p, g in enumerate(a.get("goals") or [])], "rounds": int(settings.get("rounds", 1)),
+        "seed": settings["seed"] if settings.get("seed") is not None else random.randrange(1 << 31),
+    }

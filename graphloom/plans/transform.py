@@ -109,6 +109,19 @@ def from_sql(spark: SparkSession, sql: str) -> list[Graph]:
     return [_statement(spark, s) for s in statements(sql)]
 
 
+def from_sql_repaired(spark: SparkSession, sql: str) -> list[Graph]:
+    """from_sql; where something of a script does not parse, with separators put between its statements, each of which then stands or falls by itself."""
+    from graphloom.operators.recovery import repaired
+
+    broken = lambda gs: sum("does not parse" in (n.args.get("reason") or "") for g in gs for n in g.nodes)
+    plain = from_sql(spark, sql)
+    if not broken(plain):
+        return plain
+    again = from_sql(spark, repaired(sql))
+    share = lambda gs: broken(gs) / max(1, len(gs))
+    return again if share(again) < share(plain) else plain
+
+
 def _statement(spark: SparkSession, sql: str) -> Graph:
     graph = Graph()
     m = re.match(r"(?is)^\s*create\s+(?:or\s+replace\s+)?(?:materialized\s+|temp(?:orary)?\s+)*view\s+([\w.`\"]+)(?:\s*\([^)]*\))?\s+as\s+(.*)$", sql) or re.match(r"(?is)^\s*insert\s+(?:into|overwrite)\s+(?:table\s+)?([\w.`\"]+)\s+(select\b.*)$", sql)
@@ -372,6 +385,17 @@ def explain(graph: Graph) -> list[str]:
     return [f"Step {i} {says[n.kind].format(comparable(n))}." for i, n in enumerate(graph.nodes)]
 
 
+def explain_nodes(nodes: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(id, sentence, first_fragment): a sentence for each node object (id, name, node_type, evidence) with the first of its evidence that exists."""
+    says = {"Source": "reads data", "Filter": "keeps some rows", "Join": "joins its inputs", "Aggregate": "groups and aggregates", "Calculate": "computes a column", "Sink": "writes data"}
+    what = F.lit("is not understood")
+    for kind, sentence in says.items():
+        what = F.when(F.col("node_type") == kind, sentence).otherwise(what)
+    text = evidence.groupBy("id").agg(F.min("fragment").alias("fragment")).select(F.col("id").alias("_e"), "fragment")
+    first = nodes.select("id", F.posexplode("evidence").alias("_p", "_e")).join(text, "_e").groupBy("id").agg(F.min_by("fragment", "_p").alias("first_fragment"))
+    return nodes.join(first, "id", "left").select("id", F.concat(F.coalesce("name", F.lit("?")), F.lit(" "), what, F.lit(".")).alias("sentence"), "first_fragment")
+
+
 def lower(spark: SparkSession, graphs: list[tuple[str, str, Graph]]) -> tuple[DataFrame, DataFrame]:
     """(nodes, FeedsInto edges) of graphs (path, kind, graph) as objects with name-based ids."""
     nodes = [(p, k, i, n.kind, comparable(n)) for p, k, g in graphs for i, n in enumerate(g.nodes)]

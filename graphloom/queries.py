@@ -48,6 +48,20 @@ def _uuid_sql(c: str) -> str:
     return f"case when regexp_matches(lower({c}), '{loose}') then regexp_replace(lower({c}), '{loose}', '\\2-\\3-\\4-\\5-\\6') else {c} end"
 
 
+def _chunks_sql(budget: int = 2500, most: int = 300) -> str:
+    """(doc_id, section, body): lines, the long ones cut, folded into one text whose sections are parted by chr(1)."""
+    return f"""lines as (select doc_id, list_reduce(flatten(list_transform(string_split(text, chr(10)), lambda l: case when length(l) <= {budget} then [l] else list_transform(range(0, ((length(l) - 1) // {budget} + 1)::int), lambda i: substring(l, i * {budget} + 1, {budget})) end)),
+      lambda acc, x: case when length(string_split(acc, chr(1))[-1]) + 1 + length(x) <= {budget} then acc || chr(10) || x else acc || chr(1) || x end) folded from documents where text is not null),
+    parted as (select doc_id, list_slice(list_filter(string_split(folded, chr(1)), lambda s: regexp_matches(s, '[^ \t\n\x0b\f\r]')), 1, {most}) s from lines),
+    sections as (select doc_id, (unnest(range(0, len(s))))::int as section, unnest(s) body from parted)"""
+
+
+_TEXT_TABLES = r"""tl as (select doc_id, unnest(string_split(text, chr(10))) t, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line from documents where text is not null),
+  tn as (select doc_id, line, len(list_filter(regexp_split_to_array(trim(t, ' '), '[ \t]{2,}'), lambda x: x <> '')) n from tl),
+  ti as (select doc_id, line, n, line - row_number() over (partition by doc_id order by line) island from tn where n >= 2),
+  tt as (select doc_id, min(line)::int first_line, count(*) n_rows, min(n)::int n_columns from ti group by doc_id, island having count(*) >= 2 and min(n) = max(n))"""
+
+
 _REFS_SQL = f"""
 refs as (
   select 'relationships.from_id' ref_field, {_uuid_sql('id')} record_id, {_uuid_sql('from_id')} target_id, created_at, 'object' space from relationships where regexp_matches(from_id, '\\S')
@@ -121,7 +135,16 @@ def p5_found(spark, folder):
     return drift.changes(table(spark, folder, "export_manifests"))
 
 
-@query("p5_schema")
+_HEADERS_SQL = """bodies as (select feed, batch_id, min(body) body from export_manifests where feed is not null and batch_id is not null and body is not null and json_valid(body) and json_type(case when json_valid(body) then body end) = 'OBJECT' group by 1, 2),
+  fields as (select feed, batch_id, field, json_type(body, '$."' || field || '"') t from (select feed, batch_id, body, unnest(json_keys(body)) field from bodies)),
+  typed as (select field, case t when 'NULL' then 'void' when 'BOOLEAN' then 'boolean' when 'VARCHAR' then 'string' when 'ARRAY' then 'json' when 'OBJECT' then 'json' else 'double' end c from fields)"""
+
+
+@query(
+    "p5_schema",
+    f"""with {_HEADERS_SQL} select field, case when count(distinct c) filter (c <> 'void') = 0 then 'void' when count(distinct c) filter (c <> 'void') = 1 then max(c) filter (c <> 'void') when bool_or(c = 'json') then 'json' else 'string' end column_type,
+    count(*) n_bodies, count(*) filter (c = 'void') n_nulls from typed group by field""",
+)
 def p5_schema(spark, folder):
     return drift.union_schema(table(spark, folder, "export_manifests"))
 
@@ -239,7 +262,7 @@ def fact_diff(spark, folder):
     return ledger.fact_diff(state(_FROM), state(_CUT)).select("entity", "attr", "op", "value")
 
 
-@query("fact_round_trip")
+@query("fact_round_trip", f"select distinct {_uuid_sql('id')} entity, json(payload)::varchar payload from kir_events where payload is not null and json_type(json(payload)) = 'OBJECT'")
 def fact_round_trip(spark, folder):
     """Event payloads decomposed to facts and put together again."""
     e = table(spark, folder, "kir_events").where("payload is not null").select(canonical_uuid("id").alias("id"), "payload").dropDuplicates(["id"])
@@ -253,7 +276,8 @@ def _searchable(spark, folder):
     return table(spark, folder, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"), F.coalesce("path", F.lit("")).alias("name"), F.coalesce("source", F.lit("")).alias("kind"), F.coalesce("text", F.lit("")).alias("content"))
 
 
-def _bm25_sql(terms: list[str], limit: str = "50", exact: str = "") -> str:
+def _bm25_sql(terms: list[str], limit: str = "50", exact: str = "", columns: tuple[str, str, str] = ("path", "source", "text"), also: str = "") -> str:
+    name, kind, content = columns
     fields = {"name": 10.0, "kind": 4.0, "content": 1.0}
     hit = lambda f, t: f"len(list_filter(t_{f}, lambda w: " + (f"starts_with(w, '{t[:-1]}')" if t.endswith("*") else f"w = '{t}'") + "))"
     tok = lambda c: f"list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
@@ -261,9 +285,9 @@ def _bm25_sql(terms: list[str], limit: str = "50", exact: str = "") -> str:
     stats = ", ".join([f"avg(len_{f}) avg_{f}" for f in fields] + [f"sum((tf_{f}_{i} > 0)::int)::double df_{f}_{i}" for f in fields for i in range(len(terms))])
     score = " + ".join(f"{b} * ln(1 + (n - df_{f}_{i} + 0.5) / (df_{f}_{i} + 0.5)) * tf_{f}_{i} * 2.2 / (tf_{f}_{i} + 1.2 * (0.25 + 0.75 * len_{f} / case when avg_{f} > 0 then avg_{f} else 1.0 end))" for f, b in fields.items() for i in range(len(terms)))
     wanted = " and ".join("(" + " or ".join(f"tf_{f}_{i} > 0" for f in fields) + ")" for i in range(len(terms)))
-    return f"""with d as (select 'doc-' || doc_id id, coalesce(path, '') as name, coalesce(source, '') kind, {tok('path')} t_name, {tok('source')} t_kind, {tok('text')} t_content from documents),
-    tf as (select id, name, kind, len(t_name) len_name, len(t_kind) len_kind, len(t_content) len_content, {tfs} from d), stats as (select count(*) n, {stats} from tf)
-    select id, name, kind, round({score}, 6) score from tf, stats where {wanted} order by (lower(name) = '{exact}')::int desc, score desc, id limit {limit}"""
+    return f"""with d as (select 'doc-' || doc_id id, coalesce({name}, '') as name, coalesce({kind}, '') kind, {tok(name)} t_name, {tok(kind)} t_kind, {tok(content)} t_content from documents),
+    tf as (select id, name, kind, {f"{also} as also, " if also else ""}len(t_name) len_name, len(t_kind) len_kind, len(t_content) len_content, {tfs} from d), stats as (select count(*) n, {stats} from tf)
+    select id, name, kind, round({score}, 6) score from tf, stats where {wanted}{" and also" if also else ""} order by (lower(name) = '{exact}')::int desc, score desc, id limit {limit}"""
 
 
 @query("search_bm25", _bm25_sql(["ledger", "backends"]))
@@ -281,7 +305,10 @@ def search_question(spark, folder):
     return search.ask(_searchable(spark, folder), "Why do the backends disagree on versions?")
 
 
-@query("search_phrase")
+_PHRASE = " or ".join(f"contains(' ' || array_to_string(t_{f}, ' ') || ' ', ' both backends disagree ')" for f in ("name", "kind", "content"))
+
+
+@query("search_phrase", _bm25_sql(["both", "backends", "disagree"], also=f"({_PHRASE})"))
 def search_phrase(spark, folder):
     return search.phrase_search(_searchable(spark, folder), "both backends disagree")
 
@@ -523,12 +550,15 @@ def cooccurrence_coupling(spark, folder):
     return recovery.co_changes(table(spark, folder, "commits"))
 
 
-@query("file_references")
+@query("file_references", "select distinct sha from_id, path, 'References' kind from (select sha, unnest(files_changed) path from commits where sha is not null) where path is not null")
 def file_references(spark, folder):
     return recovery.file_references(table(spark, folder, "commits").where("sha is not null").select(F.col("sha").alias("id"), "files_changed"))
 
 
-@query("document_parts")
+@query(
+    "document_parts",
+    f"with {_chunks_sql()}, {_TEXT_TABLES} select doc_id::varchar from_id, doc_id || '#section-' || (section + 1) to_id, 'Contains' kind, 'section' part, substring(body, 1, 1200) excerpt from sections union all select doc_id::varchar, doc_id || '#table-' || first_line, 'Contains', 'table', null from tt",
+)
 def document_parts(spark, folder):
     return recovery.document_parts(table(spark, folder, "documents").where("text is not null").select("doc_id", "text"))
 
@@ -587,17 +617,20 @@ def excerpt(spark, folder):
     return table(spark, folder, "documents").select("doc_id", text.excerpt(F.col("text")).alias("excerpt"))
 
 
-@query("harvest_symbols")
+_WORD = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]"
+
+
+@query("harvest_symbols", rf"select file_id, array_to_string(list_slice(regexp_extract_all(source, '(?m)^[\s\x0b\x85\p{{Z}}]*(?:fn |def |class |func |interface )({_WORD}+)', 1), 1, 50), ',') symbols from source_files where source is not null")
 def harvest_symbols(spark, folder):
-    return table(spark, folder, "source_files").where("source is not null").select("file_id", text.symbols(F.col("source")).alias("symbols"))
+    return table(spark, folder, "source_files").where("source is not null").select("file_id", F.array_join(text.symbols(F.col("source")), ",").alias("symbols"))
 
 
-@query("chunk_sections")
+@query("chunk_sections", f"with {_chunks_sql()} select doc_id, section, body from sections")
 def chunk_sections(spark, folder):
     return table(spark, folder, "documents").where("text is not null").select("doc_id", F.posexplode(text.chunks(F.col("text"))).alias("section", "body"))
 
 
-@query("text_tables")
+@query("text_tables", f"with {_TEXT_TABLES} select doc_id, first_line, n_rows, n_columns from tt")
 def text_tables(spark, folder):
     return recovery.text_tables(table(spark, folder, "documents").where("text is not null"))
 
@@ -629,7 +662,10 @@ def secret_paths(spark, folder):
     return table(spark, folder, "source_files").where(F.col("path").isNotNull() & text.is_secret_file(F.col("path"))).select("file_id")
 
 
-@query("uuid5_files")
+_UUID5 = "(select substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) from (select sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode({0})) h))"
+
+
+@query("uuid5_files", f"select file_id, {_UUID5.format('path')} object_id from source_files where path is not null")
 def uuid5_files(spark, folder):
     return table(spark, folder, "source_files").where("path is not null").select("file_id", uuid5(F.col("path")).alias("object_id"))
 
@@ -685,7 +721,11 @@ def architecture(spark, folder):
     return docs.architecture(*_graph(spark, folder))
 
 
-@query("page_paths")
+_PAGES = r"""slugs as (select id, coalesce(case when regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') = '' then 'x' else regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') end, 'x') slug from cur),
+  paged as (select id, substring(slug, 1, 2) || '/' || case when id = min(id) over (partition by slug) then slug else slug || '-' || substring(id, 1, 8) end || '.md' page from slugs)"""
+
+
+@query("page_paths", f"with {_V}, {_PAGES} select id, page from paged")
 def page_paths(spark, folder):
     return docs.page_paths(T.current_objects(table(spark, folder, "objects")))
 
@@ -698,7 +738,12 @@ def simulation_rounds(spark, folder):
 _POSTS = "select c_custkey::varchar agent_id, 'ch' || c_nationkey channel_id, round(c_acctbal / 10000, 4) confidence, case when c_custkey % 7 = 0 then 0.05 else 0.5 end energy from customer"
 
 
-@query("resource_race")
+@query(
+    "resource_race",
+    f"""with p as ({_POSTS}), c as (select 'ch' || n_nationkey channel_id, n_nationkey % 5 + 1 capacity from nation),
+    o as (select *, energy < 0.1 tired, row_number() over (partition by channel_id, energy < 0.1 order by confidence desc, md5('4:' || agent_id), agent_id) place from p)
+    select agent_id, o.channel_id, case when tired then 'tired' when capacity is not null and place > capacity then 'full' else 'done' end outcome, round(case when tired then energy::double else energy::double - 0.1 end, 6) energy_left from o left join c on c.channel_id = o.channel_id""",
+)
 def resource_race(spark, folder):
     posts = table(spark, folder, "customer").selectExpr("cast(c_custkey as string) agent_id", "'ch' || c_nationkey channel_id", "round(c_acctbal / 10000, 4) confidence", "case when c_custkey % 7 = 0 then 0.05D else 0.5D end energy")
     return simulation.race(posts, table(spark, folder, "nation").selectExpr("'ch' || n_nationkey channel_id", "n_nationkey % 5 + 1 capacity"), 3, 1)
@@ -719,7 +764,16 @@ def forum_messages(spark, folder):
     return simulation.channel_messages(m)
 
 
-@query("context_pack")
+@query(
+    "context_pack",
+    """with recursive d as (select concat_ws('/', repo, source, strftime(created_at, '%Y-%m')) group_id, epoch_us(created_at) as pos, doc_id::varchar item_id, length(text) n_chars from documents where text is not null and repo is not null and path is not null),
+    one as (select group_id, item_id, min(struct_pack(p := pos, n := n_chars)) v from d group by 1, 2),
+    ranked as (select group_id, item_id, v.p as pos, v.n n, row_number() over (partition by group_id order by v.p nulls first, item_id) i from one),
+    fold as (
+      select group_id, i, item_id, pos, n used, true taken from ranked where i = 1
+      union all select r.group_id, r.i, r.item_id, r.pos, case when f.used + r.n <= 20000 then f.used + r.n else f.used end, f.used + r.n <= 20000 from fold f join ranked r on r.group_id = f.group_id and r.i = f.i + 1)
+    select group_id, item_id, pos as position from fold where taken""",
+)
 def context_pack(spark, folder):
     """Documents of each repository and source in order of time, packed under 20,000 characters."""
     d = table(spark, folder, "documents").where("text is not null and repo is not null and path is not null")

@@ -139,6 +139,32 @@ def git_log(lines: str) -> list[dict]:
     return out
 
 
+def repository_records(commits: DataFrame, repositories: DataFrame) -> DataFrame:
+    """(repo, head_branch, remotes, author_name, n_commits): each repository's contributors with their distinct commits; repositories without commits have one row without a contributor."""
+    one = commits.where("sha is not null and author_name is not null").select("repo", "sha", "author_name").distinct().groupBy("repo", "author_name").agg(F.count(F.lit(1)).alias("n_commits"))
+    return repositories.select("repo", "head_branch", F.array_join("remotes", ",").alias("remotes")).join(one, "repo", "left").select("repo", "head_branch", "remotes", "author_name", F.coalesce("n_commits", F.lit(0)).alias("n_commits"))
+
+
+def changed_files(files: DataFrame, known: DataFrame) -> DataFrame:
+    """The files (path, sha256, ...) that known (path, sha256) lacks or has with another hash: what a build has to read again."""
+    return files.join(known.select("path", "sha256").distinct(), ["path", "sha256"], "left_anti")
+
+
+def gate(files: DataFrame, last: str | None) -> tuple[bool, str]:
+    """(whether anything changed since a fingerprint, the new one): a source whose fingerprint is the last one is skipped whole."""
+    now = fingerprint(files).collect()[0]["fingerprint"]
+    return now != last, now
+
+
+def write_model(model: DataFrame, path: str) -> None:
+    """The canonical model as one JSON line an object, in files compressed with zstd."""
+    model.select(F.to_json(F.struct(*model.columns)).alias("value")).write.mode("overwrite").option("compression", "zstd").text(path)
+
+
+def read_model(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
 def issues(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("owner string, repo string, number bigint, title string, body string, state string, is_pull_request boolean, files_changed array<string>").json(path)
 
@@ -148,8 +174,8 @@ def pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def catalog(spark: SparkSession, path: str) -> DataFrame:
-    """Columns of catalogue exports of any warehouse: (source_system, table_name, position, column_name, data_type)."""
-    return spark.read.schema("source_system string, table_name string, position int, column_name string, data_type string").json(path)
+    """Columns of catalogue exports of any warehouse: (source_system, table_name, position, column_name, data_type, engine, order_by, partition_by); the keys and the engine are null where a warehouse has none."""
+    return spark.read.schema("source_system string, table_name string, position int, column_name string, data_type string, engine string, order_by array<string>, partition_by array<string>").json(path)
 
 
 def graph_batch(spark: SparkSession, root: str, name: str, batch: str | None = None) -> DataFrame:
