@@ -50,30 +50,37 @@ def race(posts: DataFrame, capacity: DataFrame, seed: int = 0, round_: int = 0)
 
 
 EVERYBODY = "*"
+#: Agents that meet public events in one row.
+AGENT_BLOCK = 1000
 
 
 def observers(actions: DataFrame, agents: DataFrame | None = None) -> DataFrame:
-    """(event_id, observer_id) of actions (event_id, agent_id, target, visibility): self reaches the actor, private the target too, public the class of all agents, '*'.
+    """(event_id, observer_id) of actions (event_id, agent_id, target, visibility): self reaches the actor, private the target too, public everybody.
 
-    A public event is one row: observed_by says what an agent sees, so that events and agents never multiply.
+    Everybody is one row, of the class '*', so that events and agents never multiply; where agents (agent_id) are asked for, public events have a row for
+    each of these instead.
     """
     seen = F.when(F.col("visibility") == "public", F.array(F.lit(EVERYBODY))).otherwise(F.array_compact(F.array("agent_id", F.when(F.col("visibility") == "private", F.col("target")))))
-    return actions.select("event_id", F.explode(seen).alias("observer_id")).distinct()
+    fan_out = actions.select("event_id", F.explode(seen).alias("observer_id")).distinct()
+    if agents is None:
+        return fan_out
+    return fan_out.where(F.col("observer_id") != EVERYBODY).unionByName(_public(fan_out, agents).select("event_id", F.col("agent_id").alias("observer_id"))).distinct()
 
 
 def observed_by(fan_out: DataFrame, agents: DataFrame) -> DataFrame:
-    """(agent_id, event_id) that agents (agent_id), a set of at most MOST_ASKED that was asked for, see of observers: their own and, each, the public ones."""
-    asked = agents.select("agent_id").distinct()
-    few = [r["agent_id"] for r in asked.orderBy("agent_id").limit(MOST_ASKED + 1).collect()]
-    if len(few) > MOST_ASKED:
-        raise ValueError(f"ask for at most {MOST_ASKED} agents at once")
-    own = fan_out.where(F.col("observer_id") != EVERYBODY).join(asked, F.col("observer_id") == F.col("agent_id")).select("agent_id", "event_id")
-    public = fan_out.where(F.col("observer_id") == EVERYBODY).select("event_id").withColumn("agent_id", F.explode(F.array(*[F.lit(a) for a in few]).cast("array<string>")))
-    return own.unionByName(public.select("agent_id", "event_id")).distinct()
+    """(agent_id, event_id) that agents (agent_id), a set that was asked for, see of observers: their own and, each, the public ones."""
+    own = fan_out.where(F.col("observer_id") != EVERYBODY).join(agents.select("agent_id").distinct(), F.col("observer_id") == F.col("agent_id")).select("agent_id", "event_id")
+    return own.unionByName(_public(fan_out, agents)).distinct()
 
 
-#: Agents whose view is asked for at once; more are asked in turns.
-MOST_ASKED = 1000
+def _public(fan_out: DataFrame, agents: DataFrame) -> DataFrame:
+    """(agent_id, event_id) of the public events and the agents asked for, in blocks; events of one block are salted, so that no task has them all."""
+    asked = agents.select("agent_id").distinct()
+    blocks = max(1, -(-asked.count() // AGENT_BLOCK))
+    salts = fan_out.sparkSession.sparkContext.defaultParallelism
+    packed = asked.groupBy(F.pmod(F.xxhash64("agent_id"), F.lit(blocks)).alias("block")).agg(F.collect_list("agent_id").alias("ids")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    public = fan_out.where(F.col("observer_id") == EVERYBODY).select("event_id", F.pmod(F.xxhash64("event_id"), F.lit(salts)).cast("int").alias("salt"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"))
+    return public.join(packed, ["block", "salt"]).select(F.explode("ids").alias("agent_id"), "event_id")
 
 
 def bump_trust(trust: DataFrame, gained: DataFrame) -> DataFrame:

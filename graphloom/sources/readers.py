@@ -157,12 +157,12 @@ def gate(files: DataFrame, last: str | None) -> tuple[bool, str]:
 
 
 def write_model(model: DataFrame, path: str) -> None:
-    """The canonical model as one JSON line an object, in files compressed with zstd."""
-    model.select(F.to_json(F.struct(*model.columns)).alias("value")).write.mode("overwrite").option("compression", "zstd").text(path)
+    """The canonical model as one JSON text an object, in files compressed with zstd."""
+    model.select(F.to_json(F.struct(*model.columns)).alias("value")).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def read_model(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+    return spark.read.parquet(path).select(F.from_json("value", schema).alias("v")).select("v.*")
 
 
 def issues(spark: SparkSession, path: str) -> DataFrame:

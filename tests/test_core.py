@@ -429,3 +429,139 @@ def test_queries_have_sql():
     from graphloom.queries import QUERIES, SQL
 
     assert len(QUERIES) > 70 and set(SQL) <= set(QUERIES)
+
+
+def test_numbered_hot_group(spark):
+    from graphloom.operators.ranking import numbered
+
+    rng = random.Random(2)
+    data = [("hot" if rng.random() < 0.9 else None if rng.random() < 0.3 else f"g{rng.randrange(5)}", rng.choice([None, *range(50)]), i) for i in range(400)]
+    got = {(g, i): n for g, _, i, n in rows(numbered(spark.createDataFrame(data, "g string, t int, i int").repartition(5), ["g"], [F.col("t"), F.col("i")]))}
+    for group in {g for g, *_ in data}:
+        mine = sorted(((t is not None, t, i) for g, t, i in data if g == group), key=lambda x: (x[0], x[1] or 0, x[2]))
+        assert [got[group, i] for *_, i in mine] == list(range(1, len(mine) + 1))
+    assert rows(numbered(spark.createDataFrame([], "g string, t int, i int"), ["g"], [F.col("t")])) == []
+
+
+def test_public_events(spark, monkeypatch):
+    monkeypatch.setattr(simulation, "AGENT_BLOCK", 2)
+    acts = spark.createDataFrame([(f"e{i}", "a", "b", "public") for i in range(9)] + [("p", "a", "b", "private"), ("s", "b", None, "self")], "event_id string, agent_id string, target string, visibility string")
+    agents = spark.createDataFrame([(x,) for x in "abcdeea"], "agent_id string")
+    assert simulation.observers(acts).count() == 9 + 2 + 1
+    want = sorted([(x, f"e{i}") for x in "abcde" for i in range(9)] + [("a", "p"), ("b", "p"), ("b", "s")], key=str)
+    assert rows(simulation.observed_by(simulation.observers(acts), agents)) == want
+    assert rows(simulation.observers(acts, agents)) == sorted([(e, x) for x, e in want], key=str)
+
+
+def test_branches_and_runs(spark, tmp_path):
+    from graphloom.operators import branches
+
+    root = f"file:{tmp_path}/ledger"
+    v = lambda *rs: spark.createDataFrame([(i, T0 + timedelta(days=d), s, "object") for i, d, s in rs], "id string, created_at timestamp_ntz, sig string, entry_type string")
+    ledger.append(v(("a", 1, "A"), ("b", 1, "B")), f"{root}/main")
+    at = branches.create(spark, root, "try-1")
+    with pytest.raises(FileExistsError):
+        branches.create(spark, root, "try-1")
+    for bad in ("../x", "", "a/b"):
+        with pytest.raises(ValueError):
+            branches.create(spark, root, bad)
+    ledger.append(v(("a", 2, "A2"), ("c", 2, "C")), at)
+    assert branches.names(spark, root) == ["try-1"]
+    assert rows(branches.merge(spark, root, "try-1")) == [("a", "conflict"), ("b", "unchanged"), ("c", "added")]
+    assert sorted(r["sig"] for r in branches.read(spark, root).collect()) == ["A", "B", "C"]
+    branches.delete(spark, root, "try-1")
+    assert branches.names(spark, root) == []
+    with pytest.raises(FileNotFoundError):
+        branches.delete(spark, root, "main")
+    facts = lambda n: spark.createDataFrame([(f"e{n}", "to", n, "x", "ref"), (f"e{n}", "name", n, "y", "string")], "entity string, attr string, tx int, value string, value_type string")
+    for n in range(4):
+        ledger.write_index(facts(n), f"{tmp_path}/index", 1)
+    assert ledger.compact_runs(spark, f"{tmp_path}/index", "eavt", 1) == 4 and ledger.compact_runs(spark, f"{tmp_path}/index", "eavt", 1, most=3) == 1
+    eavt, avet = (spark.read.parquet(f"{tmp_path}/index/{o}") for o in ("eavt", "avet"))
+    assert ledger.scan(eavt, "eavt", "e2").count() == 2 and ledger.scan(avet, "avet", "to", "x").count() == 4 and ledger.scan(eavt, "aevt", "name", "e1").count() == 1
+
+
+def test_commit(spark):
+    s = lambda *rs: spark.createDataFrame(list(rs), "id string, sig string, entity string")
+    c = ledger.commit(s(("a", "A", ""), ("b", None, "")), s(("a", "A", ""), ("b", None, ""), ("b", "B", ""), ("c", None, "")), "id", "sig")
+    assert sorted((r["id"], str(r["sig"]), r["written"]) for r in c.collect()) == [("a", "A", False), ("b", "B", True), ("b", "None", False), ("c", "None", True)]
+    assert rows(ledger.commit_report(x=c, y=c.limit(0))) == [("x", 2, 2), ("y", 0, 0)]
+
+
+def test_rust_graph():
+    m = recovery.rust_module('''use std::{fmt::{self, Display as D}, io::*};
+pub use crate::a;
+// fn no() {}
+struct S; trait Q { fn q(&self); fn d(&self) { helper(1) } }
+impl<T: Clone> Q for S { fn q(&self) { let s = "fn x() { y() }"; self.twice(); helper('{') } fn twice(&self) {} }
+fn helper(n: u8) -> u8 { println!("{}", n); other(n) }
+mod a { fn twice() { helper(2) } }
+''')
+    assert m["functions"] == [("q", "Q"), ("d", "Q"), ("q", "S"), ("twice", "S"), ("helper", None), ("twice", None)]
+    assert m["imports"] == ["crate::a", "std::fmt", "std::fmt::Display", "std::io::*"]
+    assert m["calls"] == [("d", "helper"), ("q", "helper"), ("twice", "helper")]
+    assert recovery.rust_module("") == {"functions": [], "imports": [], "calls": []} and recovery.rust_module("fn f( {")["functions"] == [("f", None)]
+
+
+def test_crate_gaps_and_repair(spark):
+    t = spark.createDataFrame([("a", "b", "path", True), ("a", "x", "path", False), ("a", "serde", "version", False)], "crate string, dependency string, how string, resolved boolean")
+    gaps, claims = recovery.crate_gaps(t)
+    assert rows(gaps) == [("a", "x")] and sorted(r["status"] for r in claims.collect()) == ["external", "supported", "unresolved"]
+    assert recovery.repaired("SELECT a\nFROM b\nSELECT c\nUNION ALL\nSELECT d (\nSELECT 1)\n;\nDROP TABLE e") == "SELECT a\nFROM b\n;\nSELECT c\nUNION ALL\nSELECT d (\nSELECT 1)\n;\nDROP TABLE e"
+
+
+def test_scenarios_and_rounds(spark):
+    doc = {"id": "s", "agents": [{"id": "ann", "goals": ["support:plan"], "knows": ["bob"], "relationships": [{"target": "bob", "trust": 0.5}]}, {"id": "bob"}], "events": [{"id": "e", "subjects": ["ann"]}], "simulation": {"rounds": 2, "seed": 5}}
+    s = simulation.load_scenario(doc)
+    assert s["rounds"] == 2 and s["seed"] == 5 and s["names"] == simulation.load_scenario(doc)["names"] and len(s["relationships"]) == 2
+    assert s["events"][0][2] == s["names"]["ann"] and s["goals"] == [(s["names"]["ann"], 0, "support:plan")]
+    for bad in ({"id": "s", "agents": [{"id": "a"}, {"id": "a"}]}, {"id": "s", "agents": [{"id": "a", "knows": ["z"]}]}):
+        with pytest.raises(simulation.ScenarioError):
+            simulation.load_scenario(bad)
+    agents = spark.createDataFrame([("a", "c", 0.15), ("b", "c", 1.0)], "agent_id string, channel_id string, energy double")
+    goals = spark.createDataFrame([("a", 0, "support:plan"), ("b", 0, "oppose:plan")], "agent_id string, position int, goal string")
+    seen = spark.createDataFrame([("a", "plan"), ("b", "plan")], "agent_id string, name string")
+    trust = spark.createDataFrame([], "agent_id string, target string, value double")
+    out = simulation.simulate(agents, goals, seen, trust, spark.createDataFrame([("c", 5)], "channel_id string, capacity int"), 3, 1)
+    assert sorted((r["round"], r["agent_id"], r["outcome"]) for r in out["events"].collect()) == [(0, "a", "done"), (0, "b", "done"), (1, "a", "tired"), (1, "b", "done"), (2, "a", "tired"), (2, "b", "done")]
+    assert rows(out["trust"]) == [("a", "plan", 0.2)] and {r["agent_id"]: r["energy"] for r in out["agents"].collect()} == {"a": 0.05, "b": 0.7}
+
+
+def test_replay(spark):
+    events = spark.createDataFrame([('{"round": 1}', T0 + timedelta(days=2)), ("x", T0), (None, T0)], "payload string, occurred_at timestamp_ntz")
+    log = spark.createDataFrame([("a", "x", T0), ("a", "y", T0 + timedelta(days=3))], "id string, sig string, created_at timestamp_ntz")
+    assert [r["sig"] for r in simulation.replay(events, log, 1).collect()] == ["x"]
+    with pytest.raises(LookupError):
+        simulation.replay(events, log, 9)
+
+
+def test_facade_and_model(spark, tmp_path):
+    from graphloom.facade import Engine
+
+    day = lambda n: T0 + timedelta(days=n)
+    o = spark.createDataFrame([("1", "ledger core", "Table", ["e"], day(1), None, "a"), ("1", "ledger", "Table", ["e"], day(5), None, "b"), ("2", "bob & <x>", "Person", None, day(1), None, "c")], "id string, name string, kind string, evidence array<string>, created_at timestamp_ntz, status string, sig string")
+    r = spark.createDataFrame([("r", "Knows", "2", "1", ["e"], day(2), None)], "id string, kind string, from string, to string, evidence array<string>, created_at timestamp_ntz, status string")
+    ev = spark.createDataFrame([("x", "Created", "1", day(2))], "id string, kind string, subject string, occurred_at timestamp_ntz")
+    e = Engine(o, r, ev, spark.createDataFrame([("e", "why", 0.5)], "id string, fragment string, confidence double"))
+    assert json.loads(e.call("search", query="ledger"))["result"][0]["id"] == "1" and json.loads(e.call("query", text="FIND Object WHERE kind = 'Person'"))["truncated"] is False
+    assert "error" in json.loads(e.call("drop")) and "error" in json.loads(e.call("query", text="FIND Nothing")) and "error" in json.loads(e.call("search", nothing=1))
+    assert [x["node_id"] for x in e.impact("1").collect()] == ["2"] and e.current("2024-01-03")[0].where("id = '1'").collect()[0]["name"] == "ledger core"
+    assert rows(e.observation(spark.createDataFrame([("2",)], "id string"), "2024-01-04")["objects"].select("name")) == [("bob & <x>",), ("ledger core",)]
+    page = {x["id"]: x for x in e.pages().collect()}
+    assert page["1"]["text"] == "# ledger\n\nKind: Table\n\n- in Knows: bob & <x> (why)" and page["1"]["page"] == "le/ledger.md"
+    shown = e.pages().where("id = '1'").select(docs.html(F.col("text"))).collect()[0][0]
+    assert shown == "<h1>ledger</h1>\n<p>Kind: Table</p>\n<li>in Knows: bob &amp; &lt;x&gt; (why)</li>"
+    assert [x["item_id"] for x in e.ask("what about the ledger?").orderBy("position").collect()] == ["1", "2"]
+    model = compile.canonical_model(e.current()[0], e.evidence)
+    readers.write_model(model, f"{tmp_path}/model")
+    assert readers.read_model(spark, f"{tmp_path}/model", "id string, primary_description string").where("id = '1'").collect()[0]["primary_description"] == "why"
+    files = spark.createDataFrame([("p", 1, day(1))], "path string, size_bytes bigint, modified timestamp_ntz")
+    changed, mark = readers.gate(files, None)
+    assert changed and readers.gate(files, mark) == (False, mark)
+
+
+def test_audit_and_schema(spark):
+    event, evidence = context.audit_rows("db", "q?", "SELECT 1", [(1,)], "2024-01-01")
+    assert event["evidence"] == [evidence["id"]] and "SELECT 1" in evidence["fragment"] and "(1" not in event["payload"]
+    t = spark.createDataFrame([("t", "ch", [("a", "INT"), ("b", None)]), ("u", "pg", [])], "table_name string, source_system string, columns array<struct<name:string,data_type:string>>")
+    assert [r["line"] for r in context.schema_rows(t, "ch").collect()] == ["t(a INT, b)"]
