@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int = 8, partitions: int | None = None, memory: str = "8g") -> SparkSession:
-    """A session for tests and benches on one machine; a cluster brings its own session."""
-    return (
+    """A session for tests and benches on one machine; a cluster brings its own session, on which ship is to be called once."""
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("graphloom")
         .config("spark.sql.shuffle.partitions", str(partitions or cores))
@@ -22,6 +21,8 @@ def local_session(cores: int = 8, partitions: int | None = None, memory: str = "
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -49,28 +50,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-class Scratch:
-    """A folder beside the checkpoints for intermediate parquet tables that are read more than once."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str = "") -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def width(spark: SparkSession) -> int:
-    """The session's number of shuffle partitions."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def spread(df: DataFrame) -> DataFrame:
     """df over at least as many partitions as there are cores, for costly work row by row; what has enough is left as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
