@@ -18,7 +18,8 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from graphloom.session import spread
 
@@ -178,12 +179,24 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder a Python worker."""
+    """One encoder a Python worker; from the file that was sent along where the worker's own disk has none."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
     return _ENCODERS[path]
 
 
+_sent: set[tuple[str, str]] = set()
+
+
+def sent(path: str) -> str:
+    """The path of a vocabulary file, sent to the executors once an application where these are no threads of the driver."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and not spark.sparkContext.master.startswith("local[") and (key := (spark.sparkContext.applicationId, path)) not in _sent:
+        spark.sparkContext.addFile(path)
+        _sent.add(key)
+    return path
+
+
 def vocabulary(name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> str:
     return os.path.join(folder, f"{name}.json")
 
@@ -197,7 +210,7 @@ def _chunks(texts: pd.Series, characters: int = 4_000_000):
 
 def token_ids(text: Column, path: str | None = None) -> Column:
     """The ids of a text, an array of int; [] for empty and null. Text that looks like a special token is plain text."""
-    path = path or vocabulary()
+    path = sent(path or vocabulary())
 
     @F.pandas_udf("array<int>")
     def ids(texts: pd.Series) -> pd.Series:
@@ -209,7 +222,7 @@ def token_ids(text: Column, path: str | None = None) -> Column:
 
 def token_count(text: Column, path: str | None = None) -> Column:
     """The number of ids of a text; 0 for empty and null."""
-    path = path or vocabulary()
+    path = sent(path or vocabulary())
 
     @F.pandas_udf("int")
     def count(texts: pd.Series) -> pd.Series:

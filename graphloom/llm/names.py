@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -68,6 +69,8 @@ def unmangled(s: str) -> str:
 
 def folded(s: str) -> str:
     """Lower case without accents, format characters and repeated blanks."""
+    if s.isascii() and s.isprintable():
+        return re.sub(r"\s+", " ", s.lower()).strip()
     s = "".join(" " if unicodedata.category(c) == "Zs" else c for c in unmangled(s) if unicodedata.category(c) not in ("Cf", "Cc"))
     s = unicodedata.normalize("NFKD", s.lower().translate(_UNDECOMPOSED))
     return re.sub(r"\s+", " ", "".join(c for c in s if not unicodedata.combining(c))).strip()
@@ -135,6 +138,7 @@ def organisation(name: str, address: tuple[str, str, str] | None) -> str | None:
     return "".join(re.sub("[^a-z]", "", w) for w in words if w not in sector and w not in legal) or None
 
 
+@lru_cache(200_000)
 def jaro_winkler(a: str, b: str) -> float:
     """Jaro similarity with Winkler's bonus for a common prefix of up to four letters."""
     if a == b:
@@ -170,6 +174,7 @@ def monge_elkan(a: list[str], b: list[str]) -> float:
     return min(one(a, b), one(b, a))
 
 
+@lru_cache(200_000)
 def edits(a: str, b: str, most: int = 3) -> int:
     """Edits with transpositions between a and b; most + 1 where there are more."""
     if a == b:
@@ -213,11 +218,20 @@ def band_keys(texts: list[str], bands: int, rows: int) -> list[list[int]]:
     mul, add = rng.integers(1, _PRIME, n + 4, dtype=np.int64)[:n], rng.integers(0, _PRIME, n + 4, dtype=np.int64)[:n]
     weights = np.array([1_000_003**i % _PRIME for i in range(rows)], np.int64)
     known: dict[str, int] = {}
-    out = []
-    for t in texts:
-        codes = np.array([known.setdefault(g, _code(g)) for g in set(grams(t))], np.int64)
-        low = ((codes[:, None] % _PRIME * mul[None, :] % _PRIME + add[None, :]) % _PRIME).min(axis=0)
-        out.append((low.reshape(bands, rows) % 65_521 * weights).sum(axis=1).tolist())
+    at: dict[str, int] = {}
+    texts_grams = [sorted(set(grams(t))) for t in texts]
+    for g in {g for gs in texts_grams for g in gs}:
+        at[g] = len(known)
+        known[g] = _code(g)
+    codes = np.array(list(known.values()), np.int64)
+    hashed = (codes[:, None] % _PRIME * mul[None, :] % _PRIME + add[None, :]) % _PRIME  # each gram's hashes, once a batch
+    out: list[list[int]] = []
+    for lo in range(0, len(texts), 2000):
+        part = texts_grams[lo : lo + 2000]
+        flat = np.array([at[g] for gs in part for g in gs], np.int64)
+        starts = np.concatenate([[0], np.cumsum([len(gs) for gs in part])[:-1]])
+        low = np.minimum.reduceat(hashed[flat], starts, axis=0)
+        out += (low.reshape(len(part), bands, rows) % 65_521 * weights).sum(axis=2).tolist()
     return out
 
 
