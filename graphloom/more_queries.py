@@ -446,6 +446,38 @@ def changed_files(spark, folder):
     return readers.changed_files(f, f.where("observed_at < timestamp_ntz '2025-06-01 00:00:00'")).select("file_id")
 
 
+_HTML = "'<html><head><script>var x = 1;</script></head><body><h1>' || repo || '</h1><p>' || path || '</p><p>a &amp; b</p></body></html>'"
+
+
+@query("html_texts", "select file_id, repo || chr(10) || path || chr(10) || 'a & b' body from source_files where repo is not null and path is not null")
+def html_texts(spark, folder):
+    return table(spark, folder, "source_files").where("repo is not null and path is not null").select("file_id", readers.html_texts(F.expr(_HTML)).alias("body"))
+
+
+_MAIL = "concat_ws(chr(10), 'From: a@b.test', 'Subject: ' || file_id, '', path)"
+
+
+@query("email_texts", f"select file_id, {_MAIL} body from source_files where path is not null")
+def email_texts(spark, folder):
+    return table(spark, folder, "source_files").where("path is not null").select("file_id", readers.email_texts(F.expr(_MAIL)).alias("body"))
+
+
+@query("git_logs", "select sha, repo, len(list_filter(files_changed, lambda f: f is not null)) n_files, len(list_filter(files_changed, lambda f: f is not null)) * 2 insertions from commits where sha is not null and repo is not null and files_changed is not null")
+def git_logs(spark, folder):
+    c = table(spark, folder, "commits").where("sha is not null and repo is not null and files_changed is not null")
+    log = "chr(30) || concat_ws(chr(31), sha, 'A', 'a@b', '2024-01-01', 'what was done') || chr(10) || array_join(transform(filter(files_changed, f -> f is not null), f -> '2' || chr(9) || '-' || chr(9) || f), chr(10))"
+    return readers.git_logs(c.select("repo", F.expr(log).alias("log"))).select("sha", "repo", F.size("files_changed").cast("bigint").alias("n_files"), "insertions")
+
+
+_YAML = "concat_ws(chr(10), 'on: [push, schedule]', 'jobs:', '  build:', '    steps:', '      - run: make ' || file_id, '      - uses: tool', '  empty: {}', '')"
+
+
+@query("ci_pipelines", r"select path, regexp_replace(regexp_extract(path, '[^/]*$'), '\.[^.]*$', '') as name, 'push,schedule' triggers, job, case job when 'build' then 'make ' || file_id || ',tool' else '' end steps from source_files, (values ('build'), ('empty')) j(job) where path is not null")
+def ci_pipelines(spark, folder):
+    p = recovery.pipelines(table(spark, folder, "source_files").where("path is not null").select("path", F.expr(_YAML).alias("text")))
+    return p.select("path", "name", F.array_join("triggers", ",").alias("triggers"), "job", F.array_join("steps", ",").alias("steps"))
+
+
 _SECRET_PATHS = "path || case file_id % 8 when 0 then '/.env' when 1 then '/server.pem' when 2 then '/id_rsa.pub' when 3 then '/credentials.json' when 4 then '/env' when 5 then '/.env.local' else '' end"
 
 

@@ -303,6 +303,15 @@ def compact(df: DataFrame, path: str, keys: list[str], files: int) -> None:
     df.repartitionByRange(files, *keys).sortWithinPartitions(*keys).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
+def export_json(df: DataFrame, path: str) -> None:
+    """A ledger as JSON lines, to be read by import_json or anything else."""
+    df.write.mode("overwrite").option("compression", "gzip").option("ignoreNullFields", False).json(path)
+
+
+def import_json(spark, path: str, schema) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
 def append(df: DataFrame, path: str) -> None:
     """Appends rows to a ledger folder partitioned by entry_type; Spark's commit protocol makes it all or nothing."""
     df.write.mode("append").partitionBy("entry_type").option("compression", "zstd").parquet(path)

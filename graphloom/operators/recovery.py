@@ -409,6 +409,42 @@ def pipeline(path: str, document: str) -> dict | None:
     return {"name": data.get("name") or stem, "triggers": [str(t) for t in triggers], "jobs": steps}
 
 
+def pipelines(files: DataFrame) -> DataFrame:
+    """(path, name, triggers, job, steps) of CI definitions (path, text), one row a job; a definition without jobs has one row without a job, what does not parse none."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for path, body in zip(pdf["path"], pdf["text"]):
+                if isinstance(path, str) and isinstance(body, str) and (p := pipeline(path, body)):
+                    out += [(path, p["name"], p["triggers"], j, [str(s) for s in steps]) for j, steps in (p["jobs"].items() or [(None, [])])]
+            yield pd.DataFrame(out, columns=["path", "name", "triggers", "job", "steps"])
+
+    return files.select("path", "text").mapInPandas(run, "path string, name string, triggers array<string>, job string, steps array<string>")
+
+
+def concepts(documents: DataFrame, extract) -> tuple[DataFrame, DataFrame]:
+    """(mentions (doc_id, concept_id, concept), relations (doc_id, from, to, kind)) that a model finds in documents (doc_id, text).
+
+    extract takes a text and gives its concepts and its relations (concept, kind, concept). Every mention has an id of its own; a relation
+    counts if both its concepts are mentioned in the document.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for i, t in zip(pdf["doc_id"], pdf["text"]):
+                named, related = extract(t) if isinstance(t, str) else ([], [])
+                clean = [re.sub(r"\s+", " ", n).strip() for n in named]
+                out += [(i, n, None, None) for n in dict.fromkeys(clean) if n]
+                out += [(i, a, k, b) for a, k, b in related if a in clean and b in clean]
+            yield pd.DataFrame(out, columns=["doc_id", "concept", "kind", "other"])
+
+    rows = documents.select("doc_id", "text").mapInPandas(run, "doc_id bigint, concept string, kind string, other string")
+    key = lambda c: uuid5(F.concat(F.lit("concept:"), F.col("doc_id").cast("string"), F.lit(":"), F.col(c)))
+    return rows.where("kind is null").select("doc_id", key("concept").alias("concept_id"), "concept"), rows.where("kind is not null").select("doc_id", key("concept").alias("from"), key("other").alias("to"), "kind")
+
+
 def catalog_tables(columns: DataFrame) -> DataFrame:
     """(table_name, columns): a catalogue's columns (table_name, position, column_name, data_type) as one JSON list a table, in order."""
     listed = F.transform(F.array_sort(F.collect_list(F.struct("position", "column_name", "data_type"))), lambda c: F.struct(c["column_name"].alias("name"), c["data_type"].alias("data_type")))

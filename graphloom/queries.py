@@ -650,7 +650,14 @@ def crate_topology(spark, folder):
     return recovery.crate_topology(table(spark, folder, "source_files"))
 
 
-@query("sql_tables")
+@query(
+    "sql_tables",
+    r"""with b as (select doc_id::varchar path, unnest(regexp_extract_all(text, '(?s)```sql\n(.*?)```', 1)) blk from documents where contains(text, 'CREATE TABLE')),
+    s as (select path, unnest(regexp_extract_all(blk, '(?s)CREATE TABLE [^\s(]+ \(\n.*?\n\)')) st from b),
+    c as (select path, regexp_extract(st, 'CREATE TABLE ([^\s(]+)', 1) table_name, string_split(regexp_extract(st, '(?s)\(\n(.*)\n\)', 1), ',' || chr(10)) cols from s),
+    u as (select path, table_name, trim(unnest(cols)) col, generate_subscripts(cols, 1) - 1 as pos from c)
+    select path, table_name, split_part(col, ' ', 1) column_name, trim(substr(col, instr(col, ' ') + 1)) data_type, pos::int as position, null::varchar references_table, null::varchar references_column from u""",
+)
 def sql_tables(spark, folder):
     """Tables defined in SQL blocks of documents."""
     blocks = table(spark, folder, "documents").where("text like '%CREATE TABLE%'").select(F.col("doc_id").cast("string").alias("path"), F.array_join(F.regexp_extract_all("text", F.lit(r"(?s)```sql\n(.*?)```"), F.lit(1)), "\n").alias("text"))

@@ -13,7 +13,7 @@ from html.parser import HTMLParser
 from xml.etree import ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from graphloom.functions import text
 
@@ -81,6 +81,18 @@ def email_text(raw: bytes) -> str:
     return f"{head}\n\n{html_text(part.get_content()) if part is not None else ''}"
 
 
+@F.pandas_udf(T.StringType())
+def html_texts(pages: pd.Series) -> pd.Series:
+    """html_text of a column."""
+    return pd.Series([html_text(p) if isinstance(p, str) else None for p in pages])
+
+
+@F.pandas_udf(T.StringType())
+def email_texts(raws: pd.Series) -> pd.Series:
+    """email_text of a column of texts."""
+    return pd.Series([email_text(r.encode("utf-8")) if isinstance(r, str) else None for r in raws])
+
+
 def docx_text(raw: bytes) -> str:
     """Paragraphs and table rows of a document, one a line, cells parted by tabs."""
     root = ET.fromstring(zipfile.ZipFile(io.BytesIO(raw)).read("word/document.xml"))
@@ -139,6 +151,17 @@ def git_log(lines: str) -> list[dict]:
     return out
 
 
+def git_logs(logs: DataFrame) -> DataFrame:
+    """The commits of logs (repo, log), each the output that git_log reads."""
+    columns = ["repo", "sha", "author_name", "author_email", "date", "message", "files_changed", "insertions", "deletions"]
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame([{"repo": repo, **c} for repo, log in zip(pdf["repo"], pdf["log"]) if isinstance(log, str) for c in git_log(log)], columns=columns)
+
+    return logs.select("repo", "log").mapInPandas(run, "repo string, sha string, author_name string, author_email string, date string, message string, files_changed array<string>, insertions bigint, deletions bigint")
+
+
 def repository_records(commits: DataFrame, repositories: DataFrame) -> DataFrame:
     """(repo, head_branch, remotes, author_name, n_commits): each repository's contributors with their distinct commits; repositories without commits have one row without a contributor."""
     one = commits.where("sha is not null and author_name is not null").select("repo", "sha", "author_name").distinct().groupBy("repo", "author_name").agg(F.count(F.lit(1)).alias("n_commits"))
