@@ -446,14 +446,21 @@ guard = expr | 'let' pattern '=' expr ;
 RUST_KEYWORDS = frozenset(
     "as break const continue crate dyn else enum extern false fn for if impl in let loop match mod move mut pub ref return self Self static struct super trait true type unsafe use where while async await union macro_rules yield auto default raw".split()
 )
-_RS = regex.compile(
-    r"(?P<ws>\s+|//[^\n]*)|(?P<open>/\*)|(?P<raw>b?c?r(?P<h>#*)\")|(?P<STR>[bc]?\"(?:[^\\\"]|\\.)*\"[\p{L}_\w]*)"
-    r"|(?P<CHAR>b?'(?:[^\\'\n\r\t]|\\(?:[nrt0\\'\"]|x[0-9a-fA-F]{2}|u\{[0-9a-fA-F_]{1,8}\}))')|(?P<LIFE>'[\p{L}_]\w*(?!'))"
-    r"|(?P<NUM>\d[\d_]*\.\d[\d_]*(?:[eE][+-]?[\d_]+)?(?:f32|f64)?(?!\w)|\d[\d_]*[eE][+-]?[\d_]*\d[\d_]*(?:f32|f64)?(?!\w)|\d[\d_]*\.(?![.\p{L}_]))"
+_RS_TOKENS = (
+    # what most tokens are comes first
+    r"(?:(?P<ID>(?!b?c?r#*\"|[bc]?\"|b'|r#)[L_]\w*)|(?!/\*)(?P<op>\.\.=|\.\.\.|\.\.|::|->|=>|==|!=|&&|\|\||\+=|-=|\*=|/=|%=|\^=|&=|\|=|<-|[-+*/%^!&|=<>@.,;:#$?~(){}\[\]])"
+    r"|(?P<open>/\*)|(?P<raw>b?c?r(?P<h>#*)\")|(?P<STR>[bc]?\"(?:[^\\\"]++|\\.)*+\"[L\w]*)"
+    r"|(?P<CHAR>b?'(?:[^\\'\n\r\t]|\\(?:[nrt0\\'\"]|x[0-9a-fA-F]{2}|u\{[0-9a-fA-F_]{1,8}\}))')|(?P<LIFE>'[L_]\w*(?!'))"
+    r"|(?P<NUM>\d[\d_]*\.\d[\d_]*(?:[eE][+-]?[\d_]+)?(?:f32|f64)?(?!\w)|\d[\d_]*[eE][+-]?[\d_]*\d[\d_]*(?:f32|f64)?(?!\w)|\d[\d_]*\.(?![.L_]))"
     r"|(?P<INT>(?:0x[0-9a-fA-F_]*[0-9a-fA-F][0-9a-fA-F_]*?|0b[01_]+|0o[0-7_]+|\d[\d_]*)(?:[iu](?:8|16|32|64|128|size)|f32|f64)?(?!\w))"
-    r"|(?P<ID>r#[\p{L}_]\w*|[\p{L}_]\w*)|(?P<op>\.\.=|\.\.\.|\.\.|::|->|=>|==|!=|&&|\|\||\+=|-=|\*=|/=|%=|\^=|&=|\|=|<-|[-+*/%^!&|=<>@.,;:#$?~(){}\[\]])",
-    regex.DOTALL,
+    r"|(?P<word>r#[L_]\w*|[L_]\w*))"
 )
+_RS_SKIP = r"(?:\s++|//[^\n]*+)*+"
+# L stands for letters; what is plain ASCII, as most sources are, is read by the faster of two engines
+_RS = [
+    (re.compile(_RS_SKIP + re.sub(r"(?<=\[)L|(?<=\.)L(?=_)", "A-Za-z", _RS_TOKENS), re.DOTALL | re.ASCII), re.compile(_RS_SKIP, re.ASCII)),
+    (regex.compile(_RS_SKIP + re.sub(r"(?<=\[)L|(?<=\.)L(?=_)", r"\\p{L}", _RS_TOKENS), regex.DOTALL), regex.compile(_RS_SKIP)),
+]
 _NEST = re.compile(r"/\*|\*/")
 
 
@@ -463,41 +470,41 @@ def lex_rust(text: str) -> tuple[list[str], list[int]]:
     i = 1 if text.startswith("\ufeff") else 0
     if text.startswith("#!", i) and not re.match(r"#!\s*\[", text[i : i + 20]):
         i = (text + "\n").index("\n", i)
-    end = len(text)
-    while i < end:
-        m = _RS.match(text, i)
-        if not m:
-            return [*kinds, ERROR], [*at, i]
-        kind = m.lastgroup
-        if kind == "h":
-            kind = "raw"
-        if kind == "ws":
-            i = m.end()
+    tokens, skipped = _RS[not text.isascii()]
+    match = tokens.match
+    while m := match(text, i):
+        kind, i = m.lastgroup, m.end()
+        if kind == "ID":
+            word = m.group("ID")
+            at.append(i - len(word))
+            kinds.append("_" if word == "_" else word if word in RUST_KEYWORDS else "ID")
+            continue
+        if kind == "op":
+            word = m.group("op")
+            at.append(i - len(word))
+            kinds.append(word)
             continue
         if kind == "open":
-            depth, j = 1, m.end()
+            depth, j = 1, i
             while depth and (n := _NEST.search(text, j)):
                 depth, j = depth + (1 if n.group() == "/*" else -1), n.end()
             if depth:
-                return [*kinds, ERROR], [*at, i]
+                return [*kinds, ERROR], [*at, m.start("open")]
             i = j
             continue
-        at.append(i)
-        if kind == "raw":
-            j = text.find('"' + m.group("h"), m.end())
+        if kind in ("h", "raw"):
+            at.append(m.start("raw"))
+            j = text.find('"' + m.group("h"), i)
             if j < 0:
                 return [*kinds, ERROR], at
             kinds.append("STR")
             i = j + 1 + len(m.group("h"))
             continue
-        word = m.group()
-        if kind == "ID":
-            kind = "_" if word == "_" else word if word in RUST_KEYWORDS else "ID"
-        elif kind == "op":
-            kind = word
-        kinds.append(kind)
-        i = m.end()
-    return kinds, at
+        at.append(m.start(kind))
+        word = m.group(kind)
+        kinds.append(kind if kind != "word" else word if word in RUST_KEYWORDS else "ID")
+    end = skipped.match(text, i).end()
+    return (kinds, at) if end == len(text) else ([*kinds, ERROR], [*at, end])
 
 
 LANGUAGES = {
