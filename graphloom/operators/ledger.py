@@ -304,12 +304,15 @@ def compact(df: DataFrame, path: str, keys: list[str], files: int) -> None:
 
 
 def export_json(df: DataFrame, path: str) -> None:
-    """A ledger as JSON lines, to be read by import_json or anything else."""
-    df.write.mode("overwrite").option("compression", "gzip").option("ignoreNullFields", False).json(path)
+    """A ledger as JSON lines, times in microseconds, to be read by import_json or anything else."""
+    df.write.mode("overwrite").options(compression="gzip", ignoreNullFields=False, **_TIMES).json(path)
 
 
 def import_json(spark, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+    return spark.read.schema(schema).options(**_TIMES).json(path)
+
+
+_TIMES = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
 def append(df: DataFrame, path: str) -> None:
