@@ -10,7 +10,7 @@ from graphloom.functions import text
 from graphloom.functions.ids import canonical_uuid
 from graphloom.operators import compile, context, docs, graph, identity, ledger, recovery, search, simulation
 from graphloom.plans import ekl, transform
-from graphloom.queries import _CUT, _FACTS, _FROM, _NORM, _PAGES, _R, _TOP, _UUID5, _V, _bm25_sql, _branch, _facts, _graph, _root, _searchable, _tables, _uuid_sql, query, table
+from graphloom.queries import _CROSS, _CUT, _FACTS, _FROM, _NORM, _PAGES, _R, _TOP, _UUID5, _V, _VP, _bm25_sql, _branch, _facts, _graph, _root, _searchable, _tables, _uuid_sql, query, table
 from graphloom.session import cut
 from graphloom.sources import readers
 from graphloom.sources import tables as T
@@ -244,9 +244,6 @@ def identity_conflicts_files(spark, folder):
     return identity.conflicts(f)
 
 
-_CROSS = r"array_to_string(list_filter(string_split(regexp_replace({0}, '(( table| tbl| dim| fact)+)$', ''), ' '), lambda w: w not in ('mstr', 'stg', 'raw', 'dim', 'fact', 'tbl')), ' ')"
-
-
 @query(
     "name_forms",
     f"""with {_V} select id, case when kind = 'Table' and not contains(name, '/') then string_split(name, '.')[-1] when kind in ('Issue', 'PullRequest') and regexp_extract(name, '^[^#]*#[^:]*?: (.*)$', 1) <> '' then regexp_extract(name, '^[^#]*#[^:]*?: (.*)$', 1) else name end comparable,
@@ -257,7 +254,6 @@ def name_forms(spark, folder):
     return _graph(spark, folder)[0].where("name is not null").select("id", text.comparable_name(n, F.col("kind")).alias("comparable"), text.normalized_name(n).alias("normalized"), text.cross_system_name(n).alias("cross_system"))
 
 
-_VP = _V.replace("evidence, created_at, trim(", "evidence, props, created_at, trim(")
 _COLS = "cols as (select id, list_sort(list_distinct(list_transform(from_json(props['columns'], '[\"JSON\"]'), lambda x: lower(x->>'name')))) c from cur where props['columns'] is not null and json_array_length(props['columns']) > 0)"
 _PAIRS = f"select distinct least(a, b) a, greatest(a, b) b from (select {_uuid_sql('a_id')} a, {_uuid_sql('b_id')} b from match_candidates where a_id is not null and b_id is not null) where a <> b"
 

@@ -252,9 +252,7 @@ def _confident(a: list[dict], b: list[dict], same: bool, most: int = 200_000):
     step = max(1, most // max(1, len(b)))
     for lo in range(0, len(a), step):
         s = slice(lo, lo + step)
-        common = inc["column"][0][s] @ inc["column"][1]
-        shared = inc["typed"][0][s] @ inc["typed"][1]
-        agree = inc["agree"][0][s] @ inc["agree"][1]
+        common, shared, agree = ((inc[name][0][s] @ inc[name][1]).astype(np.float64) for name in ("column", "typed", "agree"))
         both = (sa[s, None] > 0) & (sb[None, :] > 0)
         overlap = common / np.maximum(sa[s, None] + sb[None, :] - common, 1)
         w = WEIGHTS

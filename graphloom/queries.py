@@ -11,6 +11,7 @@ from graphloom.functions.ids import canonical_uuid, uuid5
 from graphloom.operators import compile, context, docs, drift, graph, hierarchy, identity, ledger, orphans, recovery, search, simulation
 from graphloom.plans import ekl, transform
 from graphloom.session import cut, ship
+from graphloom.sql_text import jaro_winkler_sql
 from graphloom.sources import tables as T
 from graphloom.streaming import ledger_stream
 
@@ -428,23 +429,57 @@ def identity_conflicts(spark, folder):
     return identity.conflicts(T.current_objects(table(spark, folder, "objects")))
 
 
-@query("jw_blocked_pairs")
+_VP = _V.replace("evidence, created_at, trim(", "evidence, props, created_at, trim(")
+_CROSS = r"array_to_string(list_filter(string_split(regexp_replace({0}, '(( table| tbl| dim| fact)+)$', ''), ' '), lambda w: w not in ('mstr', 'stg', 'raw', 'dim', 'fact', 'tbl')), ' ')"
+_COMPARABLE = "case when kind = 'Table' and not contains(name, '/') then string_split(name, '.')[-1] when kind in ('Issue', 'PullRequest') and regexp_extract(name, '^[^#]*#[^:]*?: (.*)$', 1) <> '' then regexp_extract(name, '^[^#]*#[^:]*?: (.*)$', 1) else name end"
+_FAMILY = "case when contains({0}, 'int') then 'integer' when regexp_matches({0}, 'char|text|string') then 'string' when regexp_matches({0}, 'date|time') then 'datetime' when regexp_matches({0}, 'numeric|decimal|float|double') then 'numeric' when contains({0}, 'bool') then 'boolean' else {0} end"
+_STRIPPED = lambda c: f"regexp_replace({_NORM.format(c)}, '(( table| tbl| dim| fact)+)$', '')"
+_BLOCKED = f"""
+  so as (select id, kind, name, list_sort(list_distinct(list_transform(from_json(props['columns'], '["JSON"]'), lambda x: lower(x->>'name')))) c from cur where kind not in ({", ".join(f"'{k}'" for k in identity.EXCLUDED)})),
+  sn as (select id, kind, nullif(c, []) c, {_COMPARABLE} shown, {_STRIPPED('name')} norm from so),
+  sk as (select id, kind, c, substring(norm, 1, 3) block, {_STRIPPED('shown')} k from sn where norm <> '' and (kind <> 'Concept' or (len(string_split(norm, ' ')) >= 2 and length(norm) >= 8))),
+  sc as (select kind, block, k, c, min(id) id from sk group by all),
+  met as (select a.id l, b.id r, a.k ka, b.k kb, a.kind, {jaro_winkler_sql("a.k", "b.k")} jw, case when a.c is null or b.c is null then 1.0 else len(list_intersect(a.c, b.c)) / len(list_distinct(list_concat(a.c, b.c))) end st from sc a join sc b on a.kind = b.kind and a.block = b.block and a.id < b.id),
+  pairs as (select sc.id left_id, sk.id right_id, sk.k left_name, sk.k right_name, sk.kind, 1.0::double score from sk join sc on sk.kind = sc.kind and sk.block = sc.block and sk.k = sc.k and sk.c is not distinct from sc.c where sk.id <> sc.id
+    union all select l, r, ka, kb, kind, round(0.7 * jw + 0.3 * st, 6)::double from met where round(0.7 * jw + 0.3 * st, 6) >= case when kind = 'Concept' then 0.95 else 0.9 end)"""
+_MERGES = """
+  both_ways as (select left_id u, right_id v from pairs union select right_id, left_id from pairs),
+  walk as (select u id, u reached from both_ways union select w.id, b.v from walk w join both_ways b on b.u = w.reached),
+  groups as (select id, min(reached) canonical_id from walk group by 1),
+  judged as (select canonical_id, bool_and(left_name = right_name) exact, max(score) confidence from pairs join groups on groups.id = left_id group by 1)"""
+
+
+@query("jw_blocked_pairs", f"with {_VP}, {_BLOCKED} select * from pairs")
 def jw_blocked_pairs(spark, folder):
     return identity.blocked_pairs(T.structured_objects(table(spark, folder, "objects")))
 
 
-@query("merge_groups")
+@query("merge_groups", f"with recursive {_VP}, {_BLOCKED}, {_MERGES} select g.id, g.canonical_id, exact from groups g join judged j on j.canonical_id = g.canonical_id")
 def merge_groups(spark, folder):
     return identity.merge_groups(jw_blocked_pairs(spark, folder))
 
 
-@query("review_links")
+@query("review_links", f"with recursive {_VP}, {_BLOCKED}, {_MERGES} select g.canonical_id as \"from\", g.id as \"to\", 'SameAs' kind, 'unconfirmed' status, confidence from groups g join judged j on j.canonical_id = g.canonical_id where not exact and g.id <> g.canonical_id")
 def review_links(spark, folder):
     pairs = cut(jw_blocked_pairs(spark, folder))
     return identity.review_links(pairs, identity.merge_groups(pairs))
 
 
-@query("free_text_candidates")
+_ENDPOINTS = f"""
+  ep as (select id, kind, coalesce(case when kind = 'Table' then name else trim(props['object_name'], '"') end, '') as name, props from cur where kind = 'Table' or (kind = 'TransformNode' and trim(props['node_type'], '"') in ('Source', 'Sink') and trim(props['object_name'], '"') <> '')),
+  en as (select id, kind, lower(name) shown, {_CROSS.format(_NORM.format("string_split(name, '.')[-1]"))} norm, props from ep)"""
+
+
+@query(
+    "free_text_candidates",
+    f"""with {_VP}, {_ENDPOINTS}, words as (select norm, unnest(string_split(norm, ' ')) w, generate_subscripts(string_split(norm, ' '), 1) p from (select distinct norm from en where norm <> '')),
+    tx as (select id, {_COMPARABLE} t from cur where kind in ('File', 'Issue', 'PullRequest')),
+    tok as (select distinct id, x from (select id, unnest(regexp_split_to_array(lower(t), '[^\\p{{L}}\\p{{N}}]+')) x from tx) where octet_length(encode(x)) >= 3),
+    alike as (select w, x from (select distinct w from words), (select distinct x from tok) where length(w) > 0 and {jaro_winkler_sql("w", "x")} >= 0.9 - 1e-9),
+    hits as (select norm, tok.id text_id, round(count(distinct p) / any_value((select count(*) from words z where z.norm = words.norm)), 6) score from words join alike on alike.w = words.w join tok on tok.x = alike.x group by 1, 2),
+    best as (select *, row_number() over (partition by norm order by score desc, text_id) rn from hits where score >= 0.3)
+    select en.id name_id, text_id, score from best join en on en.norm = best.norm where rn <= 20""",
+)
 def free_text_candidates(spark, folder):
     objects = table(spark, folder, "objects")
     texts = T.current_objects(objects).where("kind in ('File', 'Issue', 'PullRequest')").select("id", text.comparable_name(F.col("name"), F.col("kind")).alias("text"))
@@ -469,7 +504,15 @@ def type_compat(spark, folder):
     return identity.type_compatibility(_columns(spark, folder))
 
 
-@query("cross_system_candidates")
+@query(
+    "cross_system_candidates",
+    f"""with {_VP}, {_ENDPOINTS}, ec as (select id, lower(x->>'name') n, lower(x->>'data_type') t, i from (select id, unnest(from_json(props['columns'], '["JSON"]')) x, generate_subscripts(from_json(props['columns'], '["JSON"]'), 1) i from en where props['columns'] is not null)),
+    el as (select id, list(n) ns, list(n || ':' || f) nf from (select id, n, {_FAMILY.format("arg_max(t, i)")} f from ec group by id, n) group by id),
+    e as (select en.id, kind, shown, norm, coalesce(ns, []) ns, coalesce(nf, []) nf from en left join el on el.id = en.id),
+    m as (select a.id l, b.id r, case when a.norm = b.norm then 1.0 when a.norm = '' or b.norm = '' then 0.0 else {jaro_winkler_sql("a.norm", "b.norm")} end jw, len(list_intersect(a.ns, b.ns)) k, len(list_intersect(a.nf, b.nf)) ok, len(a.ns) na, len(b.ns) nb from e a join e b on a.id < b.id and (a.kind <> b.kind or a.shown <> b.shown)),
+    s as (select l, r, round((0.4::double * jw + 0.4::double * case when na > 0 and nb > 0 then k / (na + nb - k) else 0 end + 0.2::double * ok / greatest(k, 1)) / (0.4::double + case when na > 0 and nb > 0 then 0.4::double else 0 end + case when k > 0 then 0.2::double else 0 end), 6) c from m)
+    select l as "left", r as "right", c confidence from s where c >= 0.3""",
+)
 def cross_system_candidates(spark, folder):
     return identity.cross_system_pairs(T.current_endpoints(table(spark, folder, "objects")))
 
