@@ -530,6 +530,53 @@ def ir_nodes(spark, folder):
     return spark.createDataFrame(rows, "graph int, idx int, node_type string, shown string")
 
 
+_MORE = {
+    "CREATE PROCEDURE p() AS BEGIN SELECT a FROM x WHERE a > 1; IF a THEN UPDATE y SET b = 1; END IF; INSERT INTO z SELECT c FROM w; END": [("Source", "x"), ("Filter", "(a > 1)"), ("Sink", "result"), ("Unmapped", "routine statement"), ("Unmapped", "routine statement"), ("Source", "w"), ("Sink", "z")],
+    "CREATE FUNCTION f() RETURNS TABLE AS $$ SELECT a FROM x; SELECT b FROM y $$": [("Source", "x"), ("Sink", "result"), ("Source", "y"), ("Sink", "result")],
+    "SELECT o.k FROM o LEFT SEMI JOIN c USING (k, l)": [("Source", "o"), ("Source", "c"), ("Join", "semi k=k,l=l"), ("Sink", "result")],
+    "SELECT x FROM o NATURAL JOIN c": [("Source", "o"), ("Source", "c"), ("Unmapped", "natural join"), ("Sink", "result")],
+    "SELECT a.x FROM a, b WHERE a.i = b.i": [("Source", "a"), ("Source", "b"), ("Join", "cross "), ("Filter", "(a.i = b.i)"), ("Sink", "result")],
+    "SELECT SUM(x) / 2 AS h FROM t GROUP BY g": [("Source", "t"), ("Aggregate", "g | "), ("Unmapped", "expression over aggregates"), ("Sink", "result")],
+    "SELECT x FROM (SELECT x FROM t) d": [("Unmapped", "derived table"), ("Sink", "result")],
+    "SELECT 1 UNION ALL SELECT 2": [("Unmapped", "query is not modelled"), ("Sink", "result")],
+}
+
+
+@query("ir_constructs", _values([(q, i, *n) for q, ns in _MORE.items() for i, n in enumerate(ns)], "statement, idx, node_type, shown"))
+def ir_constructs(spark, folder):
+    """Routines, joins of every kind, comma lists and what is not modelled."""
+    rows = [(q, i, n.kind, transform.comparable(n)) for q in _MORE for g in [transform.from_sql(spark, q)] for i, n in enumerate([n for x in g for n in x.nodes])]
+    return spark.createDataFrame(rows, "statement string, idx int, node_type string, shown string")
+
+
+_CHAIN = 'df = spark.table("a").filter("x > 1").join(spark.table("b"), "id", "left").groupBy("k").agg(F.sum("v").alias("t")).withColumn("u", "t + 1")\ndf.write.saveAsTable("c")\nspark.sql("select 1")'
+
+
+@query("ir_python_chain", _values([(0, 0, "Source", "a"), (0, 1, "Filter", "x > 1"), (0, 2, "Source", "b"), (0, 3, "Join", "left id=id"), (0, 4, "Aggregate", "k | sum(v)"), (0, 5, "Calculate", "u = t + 1"), (1, 0, "Unmapped", "spark.sql text")], "graph, idx, node_type, shown"))
+def ir_python_chain(spark, folder):
+    rows = [(g, i, n.kind, transform.comparable(n)) for g, x in enumerate(transform.from_python(_CHAIN)) for i, n in enumerate(x.nodes)]
+    return spark.createDataFrame(rows, "graph int, idx int, node_type string, shown string")
+
+
+def _executed(name: str, sql: str, names: list[str]) -> None:
+    def f(spark, folder):
+        return transform.execute(transform.from_sql(spark, sql)[0], {n: table(spark, folder, n) for n in names})["result"]
+
+    query(name, sql)(f)
+
+
+_executed("ir_full_join", "SELECT n.n_name AS nation, r.r_name AS region FROM nation n FULL JOIN region r ON n.n_regionkey = r.r_regionkey AND n.n_nationkey > 12", ["nation", "region"])
+_executed("ir_right_join", "SELECT n.n_nationkey AS nation, s.s_suppkey AS supplier FROM supplier s RIGHT JOIN nation n ON s.s_nationkey = n.n_nationkey WHERE n.n_nationkey > 3", ["nation", "supplier"])
+_executed("ir_comma_join", "SELECT c.c_custkey AS customer, n.n_name AS nation FROM customer c, nation n WHERE c.c_nationkey = n.n_nationkey AND c.c_acctbal > 0", ["customer", "nation"])
+
+
+@query("ir_using_join", "select event_id, n from events join (select user_id, count(*) n from events group by user_id) x using (user_id)")
+def ir_using_join(spark, folder):
+    e = table(spark, folder, "events")
+    g = transform.from_sql(spark, "SELECT event_id, n FROM events JOIN users USING (user_id)")[0]
+    return transform.execute(g, {"events": e, "users": e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))})["result"]
+
+
 @query("ir_coverage", "select graph, coverage::double coverage from (values (0, 100), (1, 50), (2, 0)) v(graph, coverage)")
 def ir_coverage(spark, folder):
     return spark.createDataFrame([(g, transform.coverage(x)) for g, x in enumerate(transform.from_sql(spark, _SCRIPT))], "graph int, coverage double")

@@ -111,16 +111,38 @@ def plain_name(name: str) -> str:
     return ".".join(p.strip().strip('"`[]') for p in re.findall(_QUOTED, name))
 
 
+_ROUTINE = re.compile(r"(?i)^\s*create\s+(?:or\s+replace\s+)?(?:procedure|function|trigger)\b")
+_LITERAL = re.compile(r"'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`")
+
+
+def _inside_routine(text: str) -> bool:
+    """Whether a text that begins a routine has a BEGIN, or a CASE or IF within it, whose END is still to come."""
+    if not _ROUTINE.match(text):
+        return False
+    words = re.findall(r"(?i)\b(begin|case|if|loop|end(?:\s+(?:if|case|loop))?)\b", _LITERAL.sub(" ", text))
+    depth = 0
+    for w in (x.lower() for x in words):
+        if w == "begin" or (depth and w in ("case", "if", "loop")):
+            depth += 1
+        elif w.startswith("end") and depth:
+            depth -= 1
+    return depth > 0
+
+
 def statements(sql: str) -> list[str]:
-    """The statements of a script: comments go, ; within quotes does not split, a missing one before a new CREATE or INSERT is put in."""
+    """The statements of a script: comments go, ; within quotes, $$ bodies and the BEGIN and END of routines does not split, a missing one before a new CREATE or INSERT is put in."""
     sql = re.sub(r"--[^\n]*|/\*.*?\*/|(?m:^\s*#[^\n]*)", " ", sql, flags=re.S)
     out, cur, quote = [], "", ""
     for c in sql:
-        if quote:
+        if quote == "$$":
+            quote = "" if c == "$" and cur.endswith("$") else quote
+        elif quote:
             quote = "" if c == quote else quote
         elif c in "'\"`":
             quote = c
-        if c == ";" and not quote:
+        elif c == "$" and cur.endswith("$"):
+            quote = "$$"
+        if c == ";" and not quote and not _inside_routine(cur):
             out.append(cur)
             cur = ""
         else:

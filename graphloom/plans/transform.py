@@ -65,8 +65,10 @@ def execute(graph: Graph, tables: dict[str, DataFrame], allow_unmapped: bool = F
             left, right, how = done[ins[0]], done[ins[1]], JOIN_HOW[a.get("how", "inner")]
             if a.get("using"):
                 df = left.join(right, a["using"], how)
-            elif how == "cross" or not (a.get("condition") or a.get("keys")):
+            elif how == "cross":
                 df = left.crossJoin(right)
+            elif not (a.get("condition") or a.get("keys")):
+                raise UnmappedError(f"{how} join without keys")
             else:
                 df = left.join(right, F.expr(a.get("condition") or " AND ".join(f"{l} = {r}" for l, r in a["keys"])), how)
         elif node.kind == "Aggregate":
@@ -127,10 +129,17 @@ def _statement(spark: SparkSession, sql: str) -> Graph:
     m = re.match(r"(?is)^\s*create\s+(?:or\s+replace\s+)?(?:materialized\s+|temp(?:orary)?\s+)*view\s+([\w.`\"]+)(?:\s*\([^)]*\))?\s+as\s+(.*)$", sql) or re.match(r"(?is)^\s*insert\s+(?:into|overwrite)\s+(?:table\s+)?([\w.`\"]+)\s+(select\b.*)$", sql)
     routine = re.match(r"(?is)^\s*create\s+(?:or\s+replace\s+)?(?:procedure|function)\b(.*)$", sql)
     if routine:
-        body = routine.group(1)
-        for q in re.findall(r"(?is)\bselect\b[^;$]*", body) or []:
-            _query(spark, q.strip(), None, graph)
-        graph.add("Unmapped", raw=re.sub(r"(?is)\bselect\b[^;$]*", "", body).strip()[:200], reason="routine body")
+        bodies = (re.search(p, routine.group(1)) for p in (r"(?is)\$\$(.*)\$\$", r"(?is)\bbegin\b(.*)\bend\b", r"(?is)\bas\b(.*)$"))
+        inner = next((b.group(1) for b in bodies if b), "")
+        for part in (p.strip() for p in re.sub(r"(?is)^\s*begin\b|\bend\s*;?\s*$", "", inner).split(";")):
+            into = re.match(r"(?is)^insert\s+(?:into|overwrite)\s+(?:table\s+)?([\w.`\"]+)\s+(select\b.*)$", part)
+            query = re.match(r"(?is)^(?:return\s+)?(?:query\s+)?\(?\s*(select\b.*?)\)?$", part)
+            if into or query:
+                _query(spark, into.group(2) if into else query.group(1), into.group(1).strip('`"') if into else None, graph)
+            elif part:
+                graph.add("Unmapped", raw=part[:200], reason="routine statement")
+        if not graph.nodes:
+            graph.add("Unmapped", raw=routine.group(1).strip()[:200], reason="routine body")
         return graph
     _query(spark, m.group(2) if m else sql, m.group(1).strip('`"') if m else None, graph)
     return graph
@@ -167,10 +176,11 @@ def _relation(plan, graph: Graph) -> int:
         left, right = _relation(plan.left(), graph), _relation(plan.right(), graph)
         kind = plan.joinType().sql().lower()
         how = "semi" if "semi" in kind else "anti" if "anti" in kind else next((k for k in ("left", "right", "full", "cross", "inner") if k in kind), "inner")
-        using = re.match(r"UsingJoin\(.*?,(?:List|ArraySeq|WrappedArray)\((.*)\)\)", plan.joinType().toString())
+        if "natural" in kind:
+            return graph.add("Unmapped", left, right, raw=kind, reason="natural join")
+        using = re.match(r"UsingJoin\((\w+),\s*(?:\w+)?[\[(](.*)[\])]\)$", plan.joinType().toString())
         if using:
-            cols = [c.strip() for c in using.group(1).split(",")]
-            how = next((k for k in ("left", "right", "full", "semi", "anti") if k in plan.joinType().toString().lower().split(",")[0]), "inner")
+            cols = [c.strip() for c in using.group(2).split(",")]
             return graph.add("Join", left, right, how=how, using=cols, keys=[(c, c) for c in cols])
         condition = _sql(plan.condition().get()) if plan.condition().isDefined() else None
         keys = []

@@ -736,7 +736,7 @@ _ir("ir_left_join", "SELECT s.s_suppkey AS supplier, n.n_name AS nation FROM sup
 _ir("ir_filter_calculate", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net FROM lineitem WHERE l_quantity > 40 AND l_returnflag = 'R'", ["lineitem"])
 
 
-@query("ir_diff")
+@query("ir_diff", "select * from (values ('Filter', 'added', '((o_orderstatus = ''F'') AND (o_totalprice > 10))'), ('Filter', 'removed', '(o_orderstatus = ''F'')')) v(node_type, change, shown)")
 def ir_diff(spark, folder):
     old = transform.from_sql(spark, "SELECT o_custkey, SUM(o_totalprice) AS t FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey")[0]
     new = transform.from_sql(spark, "SELECT o_custkey, SUM(o_totalprice) AS t FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 10 GROUP BY o_custkey")[0]
