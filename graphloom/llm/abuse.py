@@ -39,7 +39,7 @@ CACHE_PASSAGES = 100_000
 CACHE_WORDS = 200_000
 #: Documents of a batch whose passages are scored in one step.
 SCORED_TOGETHER = 500
-THRESHOLD = 0.3
+THRESHOLD = 0.2
 #: Severity of the categories reviewers name; abusive without a known category counts as the first grade.
 GRADES = {"insult": 1, "sexual": 2, "hate": 3}
 TOP = 3
