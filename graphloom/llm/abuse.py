@@ -224,29 +224,32 @@ class Ordinal:
     def fit(self, rows: list[np.ndarray], grades: np.ndarray, importance: np.ndarray, steps: int = STEPS, rate: float = 0.5, ridge: float = 2e-4) -> None:
         """Maximises the cumulative-link likelihood by AdaGrad over all rows."""
         lengths = np.array([len(r) for r in rows])
-        flat = np.concatenate(rows)
+        used, flat = np.unique(np.concatenate(rows), return_inverse=True)  # only weights of features that occur change
+        weights = self.weights[used]
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         owner = np.repeat(np.arange(len(rows)), lengths)
         scale = 1 / np.sqrt(np.maximum(lengths, SHORT))
         total = importance.sum()
-        seen_w, seen_c = np.full(len(self.weights), 1e-8), np.full(TOP, 1e-8)
+        seen_w, seen_c = np.full(len(used), 1e-8), np.full(TOP, 1e-8)
         n = np.arange(len(rows))
         for _ in range(steps):
-            score = np.add.reduceat(self.weights[flat], starts) * scale
+            score = np.add.reduceat(weights[flat], starts) * scale
             reach = np.concatenate([np.ones((len(rows), 1)), self.levels(score), np.zeros((len(rows), 1))], axis=1)
             p = np.maximum(reach[n, grades] - reach[n, grades + 1], 1e-9)
             slope = reach * (1 - reach)
             upper, lower = slope[n, grades] / p, slope[n, grades + 1] / p
             g = -(upper - lower) * importance / total
-            grad = np.bincount(flat, weights=(g * scale)[owner], minlength=len(self.weights)) + ridge / len(rows) * self.weights
+            grad = np.bincount(flat, weights=(g * scale)[owner], minlength=len(used)) + ridge / len(rows) * weights
             seen_w += grad**2
-            self.weights = (self.weights - rate * grad / np.sqrt(seen_w)).astype(np.float32)
+            weights = (weights - rate * grad / np.sqrt(seen_w)).astype(np.float32)
             cut_grad = np.zeros(TOP)
             np.add.at(cut_grad, grades[grades > 0] - 1, (upper * importance)[grades > 0] / total)
             np.add.at(cut_grad, grades[grades < TOP], -(lower * importance)[grades < TOP] / total)
             seen_c += cut_grad**2
             self.cuts = np.maximum.accumulate(self.cuts - 0.1 * cut_grad / np.sqrt(seen_c))
             self.cuts = self.cuts + np.arange(TOP) * 1e-3 * (np.diff(self.cuts, prepend=self.cuts[0] - 1) <= 0)
+        self.weights = self.weights.copy()
+        self.weights[used] = weights
 
 
 def fit(texts: list[str], grades: list[int], rounds: int = ROUNDS) -> Ordinal:
@@ -347,7 +350,7 @@ def labels(documents: DataFrame, reviews: DataFrame, most: int = FIT_DOCUMENTS)
     opinions = reviews.where("doc_id is not null and abusive is not null").select("doc_id", F.when(F.col("abusive"), grade).otherwise(0).alias("g"))
     per = opinions.groupBy("doc_id").agg(F.avg((F.col("g") > 0).cast("int")).alias("share"), F.avg(F.when(F.col("g") > 0, F.col("g"))).alias("g"))
     per = per.select("doc_id", F.when(F.col("share") > 0.5, F.round("g")).otherwise(0).cast("int").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return documents.where("text is not null").groupBy("doc_id").agg(F.min("text").alias("text")).join(per, "doc_id")
+    return documents.where("text is not null").select("doc_id", "text").join(per, "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text")).select("doc_id", "text", "grade")
 
 
 def fitted(documents: DataFrame, reviews: DataFrame, most: int = FIT_DOCUMENTS) -> bytes:
