@@ -6,9 +6,11 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.functions.bitmaps import Bitmap
 from graphloom.operators import drift, hierarchy, orphans
+from graphloom.session import cut
 from tests.conftest import rows
 
 OBJ = "id string, obj_name string, kind string, evidence array<string>, created_at timestamp_ntz, space string, born string"
@@ -210,3 +212,12 @@ def test_promotion_is_a_lattice():
             assert drift.promote(a, b) == drift.promote(b, a)
             for c in kinds:
                 assert drift.promote(drift.promote(a, b), c) == drift.promote(a, drift.promote(b, c))
+
+
+def test_cut_forgets_sizes_beyond_any_real_one(spark):
+    links = cut(spark.range(300).select("id", (F.col("id") + 1).alias("to")))
+    for _ in range(9):
+        on = links.select(F.col("id").alias("to"), F.col("to").alias("next"))
+        links = cut(links.join(on, "to", "left").select("id", F.coalesce("next", "to").alias("to")))
+    assert links._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 63
+    assert rows(links) == rows(spark.range(300).select("id", F.lit(300).cast("bigint")))
