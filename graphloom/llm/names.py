@@ -19,7 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from graphloom.session import cut
 
@@ -28,6 +28,8 @@ ROWS = 3
 RECALL = 0.97
 SIMILARITY = 0.5
 BUCKET = 200
+#: Names and organisations may differ by 2 edits, each of which, a swap of letters, may be 2 insertions, deletions or replacements.
+CORE_EDITS = 4
 STAR_LINKS = 200_000
 NAME_ENOUGH = 0.88
 SEED = 11
@@ -245,8 +247,11 @@ def _code(gram: str) -> int:
 def similar_spellings(spellings: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS, bucket: int = BUCKET) -> DataFrame:
     """(view, left, right): ids of different spellings of one view that share a band within their block.
 
-    spellings has (view, block, id, text, is_left, is_right), one row a spelling. Buckets of more than bucket spellings are dealt into blocks of about
-    that size, and each block of left spellings meets each of right ones in a bucket of its own, so that no pair is lost.
+    spellings has (view, block, id, text, is_left, is_right), one row a spelling, or one as left and one as right. Buckets of more than bucket spellings
+    are dealt into blocks of about that size, and each two blocks meet in a group of their own, so that no pair is lost.
+
+    Bands, buckets and pairs hold numbers in place of the spellings; a bucket is shuffled once, and a pair is met in one direction. Where spellings
+    has core (string), pairs whose cores are both there and over CORE_EDITS insertions, deletions and replacements apart are left out as soon as they meet.
     """
     bands = bands_for(similarity, recall, rows)
 
@@ -254,15 +259,27 @@ def similar_spellings(spellings: DataFrame, similarity: float = SIMILARITY, reca
     def keys(texts: pd.Series) -> pd.Series:
         return pd.Series(band_keys(texts.tolist(), bands, rows))
 
-    k = spellings.select("view", "id", "is_left", "is_right", F.xxhash64("view", "block").alias("block"), keys("text").alias("k"))
-    banded = cut(k.select("view", "id", "is_left", "is_right", "block", F.posexplode("k").alias("band", "key")).withColumn("bucket", F.xxhash64("block", "band", "key")).drop("block", "band", "key"))
-    sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")  # a spelling alone in its bucket meets nobody
-    parts = F.ceil(F.col("n") / bucket).cast("int")
-    placed = cut(banded.join(sizes.hint("merge"), "bucket").withColumn("parts", parts).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")))
-    dealt = lambda df, *order: df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("bucket", F.when(F.col("parts") > 1, F.xxhash64("bucket", *order)).otherwise(F.col("bucket")))
-    left = dealt(placed.where("is_left"), "mine", "other").select("bucket", "view", F.col("id").alias("left"))
-    right = dealt(placed.where("is_right"), "other", "mine").select("bucket", F.col("id").alias("right"))
-    return cut(left.join(right.hint("merge"), "bucket").where("left <> right").select("view", "left", "right").distinct())
+    core = F.col("core") if "core" in spellings.columns else F.lit(None).cast("string").alias("core")
+    known = cut(spellings.select("view", "id", "is_left", "is_right", core, F.monotonically_increasing_id().alias("n"), F.xxhash64("view", "block").alias("block"), keys("text").alias("k")))
+    sides = (F.col("is_left").cast("int") + 2 * F.col("is_right").cast("int")).alias("sides")
+    banded = known.select("n", sides, "core", "block", F.posexplode("k").alias("band", "key")).select(F.xxhash64("block", "band", "key").alias("bucket"), "n", "sides", "core")
+    sized = banded.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("bucket")))  # a spelling alone in its bucket meets nobody
+    mine = F.pmod(F.xxhash64("n"), F.col("parts")).cast("int")
+    cells = (
+        sized.where(F.col("size") > bucket).withColumn("parts", F.ceil(F.col("size") / bucket).cast("int")).withColumn("mine", mine)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("bucket"), "n", "sides", "core", "mine", (F.col("mine") == F.col("other")).alias("own"))
+    )
+    group = lambda df: df.groupBy("bucket").agg(F.collect_list(F.struct("n", "sides", "core", "mine", "own")).alias("all"))
+    small = sized.where((F.col("size") > 1) & (F.col("size") <= bucket)).select("bucket", "n", "sides", "core", F.lit(0).alias("mine"), F.lit(True).alias("own"))
+    two = group(small).unionByName(group(cells)).select("all", F.explode("all").alias("x")).select("x", F.explode("all").alias("y"))
+    meet = ((F.col("x.sides").bitwiseAND(1) > 0) & (F.col("y.sides") > 1)) | ((F.col("y.sides").bitwiseAND(1) > 0) & (F.col("x.sides") > 1))
+    two = two.where((F.col("x.n") < F.col("y.n")) & (F.col("x.own") | (F.col("x.mine") != F.col("y.mine"))) & meet)
+    pairs = two.where(F.coalesce(F.levenshtein("x.core", "y.core", CORE_EDITS) >= 0, F.lit(True))).select(F.col("x.n").alias("x"), F.col("y.n").alias("y")).distinct()
+    end = lambda c: known.select(F.col("n").alias(c), "view", F.struct("id", "is_left", "is_right").alias(f"of_{c}"))
+    named = pairs.join(end("x").hint("merge"), "x").join(end("y").drop("view").hint("merge"), "y")
+    way = lambda a, b: F.when(F.col(f"{a}.is_left") & F.col(f"{b}.is_right"), F.struct(F.col(f"{a}.id").alias("left"), F.col(f"{b}.id").alias("right")))
+    return named.select("view", F.explode(F.array(way("of_x", "of_y"), way("of_y", "of_x"))).alias("p")).where("p.left <> p.right").select("view", "p.left", "p.right")
 
 
 _ROW = "author_id bigint, node string, kind string, given string, surname string, middle string, local string, domain string, keys array<string>"
@@ -468,7 +485,9 @@ def links(rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
         .unionByName(view(full_names(persons).unionByName(full_names(loose)).unionByName(by_name.select("text").where("text like '% %'")).distinct().select(F.lit("").alias("block"), F.col("text").alias("id"), "text"), "name", yes, yes))
         .unionByName(view(orgs.select(F.col("node").alias("id"), F.substring("text", 1, 1).alias("block"), "text"), "org", yes, yes))
     )
-    near = similar_spellings(spellings, bucket=bucket)
+    after = F.when(F.instr("text", " ") > 0, F.expr("substring(text, instr(text, ' ') + 1)")).otherwise("")  # the surname, as close_names takes it
+    spellings = spellings.withColumn("core", F.when(F.col("view") == "name", after).when(F.col("view") != "local", F.col("text")))
+    near = cut(similar_spellings(spellings, bucket=bucket).where("view = 'surname' or left < right"))
     near_local = near.where("view = 'local' and left < right").select("left", "right")
 
     # names that differ a little: addresses of one domain, and spelled out local parts with any

@@ -430,3 +430,12 @@ def test_queries_registered():
 
     assert {"p1_found", "p4_found", "p6_found", "p7_ids", "p9_found"} <= set(QUERIES) and any(q.startswith("p8_") for q in QUERIES)
     assert datetime and languages.LANGUAGES
+
+
+def test_bands_write_numbers_only(spark):
+    """What is written for a spelling does not hold its id once a band: ids here are 3,000 letters long."""
+    s = spark.createDataFrame([("v", "b", f"{w}:{'x' * 3000}", w, True, True) for w in ("kowalski", "kowalsky", "nowak")], "view string, block string, id string, text string, is_left boolean, is_right boolean")
+    made = names.similar_spellings(s)
+    assert [(r["left"][:8], r["right"][:8]) for r in made.orderBy("left").collect()] == [("kowalski", "kowalsky"), ("kowalsky", "kowalski")]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "bucket" in plan and all("id#" not in line for line in plan.splitlines() if "Generate posexplode" in line or "Window" in line)

@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -221,3 +222,20 @@ def test_cut_forgets_sizes_beyond_any_real_one(spark):
         links = cut(links.join(on, "to", "left").select("id", F.coalesce("next", "to").alias("to")))
     assert links._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 63
     assert rows(links) == rows(spark.range(300).select("id", F.lit(300).cast("bigint")))
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    shuffled = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {b.toString() for b in _each(blocks.getAllFiles()) if b.getName().startswith("shuffle_")}
+    before = files()
+    done = cut(shuffled)
+    deadline = time.time() + 10
+    while files() - before and time.time() < deadline:
+        time.sleep(0.1)
+    assert not files() - before
+    assert rows(done) == rows(shuffled)
+
+
+def _each(found):
+    return [found.apply(i) for i in range(found.size())]
