@@ -200,6 +200,21 @@ def test_blocked_pairs_of_any_length(spark):
         assert {tuple(sorted((r["left_id"], r["right_id"]))) for r in identity.blocked_pairs(o, largest=largest).collect()} == want
 
 
+def test_groups_of_long_chains(spark, monkeypatch):
+    """Neither chains in any order of their ids nor in order need rounds by their length, resolved in one task or in rounds."""
+    cuts, plain = [], identity.cut
+    monkeypatch.setattr(identity, "cut", lambda df: cuts.append(1) or plain(df))
+    ids = [f"{i:04d}" for i in range(600)]
+    mixed = random.Random(5).sample(ids[:300], 300)
+    pairs = [(min(x), max(x), "n", "n" if x[0] != mixed[7] else "m", 1.0) for x in [*zip(mixed, mixed[1:]), *zip(ids[300:500], ids[301:500]), *((ids[599], x) for x in ids[500:599])]]
+    want = sorted((x, c, c != "0000") for x in ids for c in [max(y for y in ("0000", "0300", "0500") if y <= x)])
+    df = spark.createDataFrame(pairs, "left_id string, right_id string, left_name string, right_name string, score double").repartition(8)
+    for bucket, most in ((identity.BUCKET, 5), (20, 60)):
+        cuts.clear()
+        assert sorted(tuple(r) for r in identity.merge_groups(df, bucket).collect()) == want
+        assert len(cuts) <= most
+
+
 def test_inventory_operators(spark):
     n = spark.createDataFrame([("a", "gold.sites"), ("b", "dim_site_orders_by_day")], "id string, name string")
     t = spark.createDataFrame([("1", "lib/plausible/site"), ("2", "Orders of a site"), ("3", "nothing")], "id string, text string")
