@@ -2,8 +2,10 @@
 
 import json
 import random
+import time
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,6 +160,21 @@ def test_similarity():
     assert round(identity.jaro_winkler("martha", "marhta"), 4) == 0.9611 and round(identity.jaro_winkler("abcd", "abxyz"), 3) == 0.707
 
 
+def test_similarity_on_bits():
+    """Equal to the pair by pair form to the last bit: words of up to 65 letters, zeros, many different letters and small tables; fast enough for the pairs of a block."""
+    rng = random.Random(4)
+    word = lambda most, letters: "".join(rng.choices(letters, k=rng.randrange(most)))
+    words = [*(word(20, "abc") for _ in range(80)), *(word(70, "abcdef /é\0") for _ in range(80)), *(word(64, "".join(map(chr, range(0x4E00, 0x5600)))) for _ in range(30)), *("ab" * 32 + "c" * i for i in range(2)), "", "\0", "a\0"]
+    ia, ib = (np.array([rng.randrange(len(words)) for _ in range(6000)]) for _ in range(2))
+    want = [identity.jaro_winkler(words[i], words[j]) for i, j in zip(ia, ib)]
+    assert identity.jaro_winkler_many([words[i] for i in ia], [words[j] for j in ib]).tolist() == want
+    assert identity.jaro_winkler_of(words, words, ia, ib, 50, 9000).tolist() == want and identity.jaro_winkler_many([], []).tolist() == []
+    paths = [f"tools/replayer/hash indexer{i} yml" for i in range(400)]
+    began = time.process_time()
+    identity._name_patterns(paths, paths)
+    assert time.process_time() - began < 4  # 160,000 pairs; the form on matrices of letters took longer
+
+
 def test_identity(spark):
     names = ["customer_orders", "customer orders", "customer_order", "cusp", "cat", "Customer-Orders tbl"]
     o = spark.createDataFrame([(str(i), "Table", n) for i, n in enumerate(names)] + [("9", "Page", "customer_orders")], "id string, kind string, name string")
@@ -215,6 +232,15 @@ def test_groups_of_long_chains(spark, monkeypatch):
         assert len(cuts) <= most
 
 
+def test_blocked_pairs_in_tiles(spark):
+    """The same pairs and scores in tiles of any size, for names with and without copies, columns and other kinds."""
+    rng = random.Random(9)
+    made = [(f"{i:03d}", rng.choice(("Table", "Person")), "abc" + "".join(rng.choices("de", k=rng.randrange(5))), rng.choice((None, ["x"], ["x", "y"]))) for i in range(120)]
+    o = spark.createDataFrame(made, "id string, kind string, name string, columns array<string>")
+    whole = rows(identity.blocked_pairs(o))
+    assert len(whole) > 100 and whole == rows(identity.blocked_pairs(o, tile=3)) == rows(identity.blocked_pairs(o, largest=1, tile=2))
+
+
 def test_inventory_operators(spark):
     n = spark.createDataFrame([("a", "gold.sites"), ("b", "dim_site_orders_by_day")], "id string, name string")
     t = spark.createDataFrame([("1", "lib/plausible/site"), ("2", "Orders of a site"), ("3", "nothing")], "id string, text string")
