@@ -232,6 +232,20 @@ def test_groups_of_long_chains(spark, monkeypatch):
         assert len(cuts) <= most
 
 
+def test_condensed_pairs(spark):
+    """Groups, exactness and confidence of condensed pairs are those of all pairs, of which far fewer are left."""
+    rng = random.Random(11)
+    made = [(f"{min(a, b):03d}", f"{max(a, b):03d}", "n", "n" if a % 50 < 40 else "m", round(rng.random(), 6)) for g in range(0, 300, 50) for a in range(g, g + 50, 2) for b in range(g + 1, g + 50, 2)]
+    pairs = spark.createDataFrame(made, "left_id string, right_id string, left_name string, right_name string, score double").where("left_id < '200' or left_name = right_name").repartition(3)
+    for bucket in (identity.BUCKET, 100):
+        few = identity.condensed(pairs, bucket)
+        assert few.count() < pairs.count() / 2
+        whole, less = (identity.merge_groups(p) for p in (pairs, few))
+        assert rows(whole) == rows(less)
+        assert rows(identity.review_links(pairs, whole)) == rows(identity.review_links(few, less))
+        assert rows(identity.group_confidence(pairs, whole)) == rows(identity.group_confidence(few, less))
+
+
 def test_blocked_pairs_in_tiles(spark):
     """The same pairs and scores in tiles of any size, for names with and without copies, columns and other kinds."""
     rng = random.Random(9)
