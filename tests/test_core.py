@@ -232,6 +232,15 @@ def test_groups_of_long_chains(spark, monkeypatch):
         assert len(cuts) <= most
 
 
+def test_cross_system_blocks(spark):
+    """Blocks do not follow the number of objects, each of which is shuffled once a block; blocks of several parts give all pairs."""
+    assert [identity.pair_blocks(n) for n in (0, 999, 16_000, 72_000, 160_000, 1_600_000)] == [1, 1, 16, 16, 16, 160]
+    rng = random.Random(12)
+    o = spark.createDataFrame([(f"{i:03d}", "Table", "".join(rng.choices("abc", k=4)), None) for i in range(100)], "id string, kind string, name string, columns array<struct<name:string,data_type:string>>")
+    whole = rows(identity.cross_system_pairs(o))
+    assert len(whole) > 1000 and rows(identity.cross_system_pairs(o, block=3)) == whole
+
+
 def test_condensed_pairs(spark):
     """Groups, exactness and confidence of condensed pairs are those of all pairs, of which far fewer are left."""
     rng = random.Random(11)
